@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelweir.llm import bpe, simhash, suffix_dedup
+from pixelweir.llm import bpe, pii, quality, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op4_pii": pii.op4_pii,
+    "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
     "op7_bpe": bpe.op7_bpe,
 }
