@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelweir.llm import bpe, pii, quality, simhash, suffix_dedup
+from pixelweir.llm import bpe, decontaminate, line_templates, pii, quality, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
     "op7_bpe": bpe.op7_bpe,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_line_templates": line_templates.op9_line_templates,
 }
 
 ORACLES: dict[str, str] = {}
