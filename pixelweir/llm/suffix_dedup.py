@@ -3,15 +3,15 @@
 A byte goes if it lies in a string of LENGTH bytes that also starts anywhere else (another document, or another place
 of the same one). All such strings are found without sorting the whole corpus at once:
 
-1. Each window of LENGTH bytes names the least of its GRAM-byte strings (by hash, leftmost on ties). Equal windows name
-   equal strings at equal offsets, so an anchor hash splits the suffixes into independent groups. A row per anchor
-   stands for a run of windows; windows of a document make a row for about 75 bytes.
+1. Each window of LENGTH bytes names the least of its strings of 64 bytes (by hash, leftmost on ties). Equal windows
+   name equal strings at equal offsets, so an anchor hash splits the suffixes into independent groups. A row per
+   anchor stands for a run of windows; windows of a document make a row for about 75 bytes.
 2. Anchors seen once go. Equal runs (a digest of all bytes of the run, within one anchor) are duplicates as a whole.
 3. For anchors with several different runs, one run of each kind is cut from its text, and the suffixes that start at
    its windows are merge-sorted. Suffixes are compared by their longest common extension, found by binary search over
    prefix polynomial hashes; neighbours that agree on LENGTH bytes are duplicates, after their bytes are compared.
-4. Anchors with more than HOT kinds of runs (a line in a third of all documents) are not brought together: digests of
-   their single windows are counted instead, which is exact and combines before the shuffle.
+4. Anchors with more than HOT kinds of runs (a line in a third of all documents) are not brought together. Their runs
+   are split again by longer strings (150 bytes, then LENGTH, where each window is a run of its own), from step 1 on.
 
 Results: null and empty texts have no bytes and nothing removed. Repeated rows are documents of their own, so all of
 their windows count as duplicates. Other columns are left out.
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,55 +28,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import NULL_ID, bound_batches, read, row_key, shuffles
+from pixelweir.llm.common import NULL_ID, bound_batches, durable, read, row_key, shuffles
+from pixelweir.llm.rolling import Prefixes, mix
 
-LENGTH, GRAM = 200, 48
-#: Kinds of runs of one anchor that are sorted in one task; anchors with more are counted window by window.
-HOT = 1024
+LENGTH = 200
+#: Lengths of the anchor strings: the next is used where one has more than HOT kinds of runs; the last is LENGTH.
+GRAMS = (64, 150, 200)
+#: Kinds of runs of one anchor that are sorted in one task; anchors with more are split again.
+HOT = 6000
 #: Bytes of runs sorted together.
 BLOCK = 1 << 20
-#: Odd base of the polynomial hashes, modulo 2^64.
-BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-
-
-@cache
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i for i below 2^bits, and a random value for each byte."""
-    n = 1 << bits
-    up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    values = np.random.default_rng(7).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64), values
-
-
-class Prefixes:
-    """Prefix polynomial hashes of a byte array: the hash of any string in constant time, wherever it stands."""
-
-    def __init__(self, data: np.ndarray):
-        self.up, down, values = _powers(max(12, int(len(data) + 1).bit_length()))
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * down[: len(data)], out=self.sums[1:])
-
-    def hashes(self, at: np.ndarray, n) -> np.ndarray:
-        """Of the n bytes from each place. The sums hold BASE^-i at place i; BASE^at brings a string back to place zero."""
-        return (self.sums[at + n] - self.sums[at]) * self.up[at]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spreads a hash over all 64 bits."""
-    x = x ^ x >> np.uint64(33)
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ x >> np.uint64(33)
-
-
 def _gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
     """A hash of the n bytes from each place."""
     p = Prefixes(data)
     m = len(data) - n + 1
-    return _mix((p.sums[n:] - p.sums[:m]) * p.up[:m])
+    return mix((p.sums[n:] - p.sums[:m]) * p.up[:m])
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -129,26 +94,50 @@ def _cut(texts: list[bytes], limit: int = 1 << 20, overlap: int = LENGTH) -> Ite
         yield pack()
 
 
-def _runs(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """A row for each run of windows: anchor a, digest c of the run's bytes, document (_d, _h), first window s, further windows w, anchor's offset o."""
+#: A run's place, packed into a long: first window, further windows, anchor's offset from the first window.
+_SHIFT = 10
+
+
+def _packed(s: np.ndarray, w: np.ndarray, o: np.ndarray) -> np.ndarray:
+    return (s << 2 * _SHIFT) | (w << _SHIFT) | o
+
+
+def _unpacked(p: int) -> tuple[int, int, int]:
+    return p >> 2 * _SHIFT, p >> _SHIFT & (1 << _SHIFT) - 1, p & (1 << _SHIFT) - 1
+
+
+_RUN_SCHEMA = "a long, c long, _d long, _h long, _b long, p long, lone boolean"
+
+
+def _run_batch(texts: list[bytes], d: np.ndarray, h: np.ndarray, first: np.ndarray, lone: np.ndarray, length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """A row for each run of windows: anchor a, digest c of the run's bytes, document (_d, _h), place p, lone. `first` is where each text begins in its document."""
+    for data, starts, ends, number, offset in _cut(texts, overlap=length):
+        a, s, e, place = anchors(data, starts, ends, length, gram)
+        raw = data.tobytes()
+        digest = xxhash.xxh3_64_intdigest
+        c = np.array([digest(raw[x : y + length]) for x, y in zip(s.tolist(), e.tolist(), strict=True)], np.uint64)
+        piece = np.searchsorted(ends, s, side="right")
+        doc = number[piece]
+        at = _packed(s - starts[piece] + offset[piece] + first[doc], e - s, place - s)
+        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d[doc]), pa.array(h[doc]), pa.array(first[doc]), pa.array(at), pa.array(lone[doc])], ["a", "c", "_d", "_h", "_b", "p", "lone"])
+
+
+def _numbers(b: pa.RecordBatch, *columns: str) -> list[np.ndarray]:
+    return [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+
+
+def _runs(sources: DataFrame, length: int, gram: int) -> DataFrame:
+    """The runs of documents, or of pieces that begin at byte _b of one; a piece's windows stay its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            ids = [b.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_h")]
-            for data, starts, ends, number, offset in _cut([(t or "").encode("utf-8", "surrogatepass") for t in texts], overlap=length):
-                a, s, e, place = anchors(data, starts, ends, length, gram)
-                raw = data.tobytes()
-                digest = xxhash.xxh3_64_intdigest
-                c = np.array([digest(raw[x : y + length]) for x, y in zip(s.tolist(), e.tolist(), strict=True)], np.uint64)
-                piece = np.searchsorted(ends, s, side="right")
-                doc = number[piece]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(ids[0][doc]), pa.array(ids[1][doc]), pa.array((s - starts[piece] + offset[piece]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array((place - s).astype(np.int32))],
-                    ["a", "c", "_d", "_h", "s", "w", "o"],
-                )
-
-    return keyed.select("_d", "_h", "text").mapInArrow(run, "a long, c long, _d long, _h long, s int, w int, o int")
+            yield from _run_batch(_bytes(b), *_numbers(b, "_d", "_h", "_b", "lone"), length, gram)
+
+    return sources.mapInArrow(run, _RUN_SCHEMA)
+
+
+def _bytes(b: pa.RecordBatch) -> list[bytes]:
+    return [t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
 
 
 def merge_sort(data: np.ndarray, at: np.ndarray, bucket: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -234,6 +223,8 @@ def repeated_windows(runs: list[bytes], groups: list[int], offsets: list[int], l
     at = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + first[which]
     # equal windows have their anchor at the same distance, so a bucket is a group and that distance
     bucket = np.asarray(groups, np.int64)[which] * (2 * length) + (np.asarray(offsets, np.int64)[which] - (at - first[which]) + length)
+    # and suffixes that differ in their first half can't agree on the whole
+    bucket = mix(mix(bucket.astype(np.uint64)) ^ Prefixes(data).hashes(at, length // 2))
     order, same = merge_sort(data, at, bucket, length)
     hit = np.zeros(len(at), bool)
     hit[order[same]] = True
@@ -258,87 +249,87 @@ def _span_batch(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], ["_d", "_h", "b", "e"])
 
 
-def duplicate_spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(_d, _h, b, e): byte ranges covered by repeated strings, for documents (_d, _h, text); ranges may overlap."""
-    spark = keyed.sparkSession
-    every = _runs(keyed, length, gram)
-    seen = every.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").select("a")
-    runs = every.join(seen, "a")
-    kinds = runs.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_h", "s", "w", "o")).alias("r"))
-    several = kinds.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1")
-    equal = runs.join(kinds.filter("n > 1").select("a", "c"), ["a", "c"]).select("_d", "_h", F.col("s").alias("b"), (F.col("s") + F.col("w") + length).alias("e"))
-    wanted = kinds.join(several, "a").select("a", "n", "m", "r.*")
+def duplicate_spans(keyed: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, hot: int = HOT) -> DataFrame:
+    """(_d, _h, b, e): byte ranges covered by repeated strings, for documents (_d, _h, _b = 0, text); ranges may overlap."""
+    assert grams[-1] == length < 1 << _SHIFT
+    return _level(keyed.select("_d", "_h", "_b", F.lit(True).alias("lone"), "text"), length, grams, hot)
+
+
+def _level(sources: DataFrame, length: int, grams: tuple[int, ...], hot: int) -> DataFrame:
+    """Ranges from the sources (_d, _h, _b, lone, text). A source that isn't lone stands for several equal ones, whose ranges are known already."""
+    every = _runs(sources, length, grams[0])
+    seen = durable(every.groupBy("a").agg(F.count("*").alias("k")).filter("k > 1").select("a"))
+    runs = durable(every.join(seen, "a"))
+    kinds = runs.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_h", "_b", "p", "lone")).alias("r"))
+    several = durable(kinds.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1"))
+    begin, more = F.shiftright("p", 2 * _SHIFT), F.shiftright("p", _SHIFT).bitwiseAND((1 << _SHIFT) - 1)
+    equal = runs.filter("lone").join(kinds.filter("n > 1").select("a", "c"), ["a", "c"]).select("_d", "_h", begin.cast("int").alias("b"), (begin + more + length).cast("int").alias("e"))
+    wanted = kinds.join(several, "a").select("a", (F.col("m") > hot).alias("hot"), F.expr("n = 1 and r.lone").alias("lone"), "r._d", "r._h", "r._b", "r.p")
+    pieces = _pieces(sources, wanted, length)
+    if len(grams) == 1 or not several.filter(F.col("m") > hot).limit(1).count():
+        return equal.unionByName(_sorted_spans(pieces, length))
+    pieces = durable(pieces)
+    split = pieces.filter("hot").select("_d", "_h", F.col("s").alias("_b"), "lone", F.col("piece").alias("text")).distinct()
+    return equal.unionByName(_sorted_spans(pieces.filter("not hot"), length)).unionByName(_level(split, length, grams[1:], hot))
+
+
+_PIECE_SCHEMA = pa.schema([("a", pa.int64()), ("hot", pa.bool_()), ("lone", pa.bool_()), ("_d", pa.int64()), ("_h", pa.int64()), ("s", pa.int64()), ("o", pa.int32()), ("piece", pa.binary())])
+
+
+def _pieces(sources: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The bytes of runs (a, hot, lone, _d, _h, _b, p), cut from their texts. Repeated rows share (_d, _h) and give equal pieces, again and again."""
+    per_text = wanted.groupBy("_d", "_h", "_b").agg(F.collect_list(F.struct("a", "hot", "lone", "p")).alias("wanted"))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(_PIECE_SCHEMA)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE_SCHEMA, strict=True)], schema=_PIECE_SCHEMA)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, size = [], 0
-            for d, h, text, wanted in zip(*(b.column(c).to_pylist() for c in ("_d", "_h", "text", "wanted")), strict=True):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                for x in wanted:
-                    piece = raw[x["s"] : x["s"] + x["w"] + length]
-                    rows.append((x["a"], x["n"] == 1, d, h, x["s"], x["o"], piece))
-                    size += len(piece)
+            for d, h, begin, raw, chosen in zip(*(b.column(c).to_pylist() for c in ("_d", "_h", "_b")), _bytes(b), b.column("wanted").to_pylist(), strict=True):
+                for x in chosen:
+                    s, w, o = _unpacked(x["p"])
+                    rows.append((x["a"], x["hot"], x["lone"], d, h, s, o, raw[s - begin : s - begin + w + length]))
+                    size += w + length
                     if size > 4 << 20:
-                        yield piece_batch(rows)
+                        yield batch(rows)
                         rows, size = [], 0
-            yield piece_batch(rows)
+            yield batch(rows)
 
-    def piece_batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * len(piece_schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, piece_schema, strict=True)], schema=piece_schema)
+    found = sources.select("_d", "_h", "_b", "text").join(per_text, ["_d", "_h", "_b"]).select("_d", "_h", "_b", "text", "wanted")
+    return found.mapInArrow(cut, "a long, hot boolean, lone boolean, _d long, _h long, s long, o int, piece binary")
 
-    piece_schema = pa.schema([("a", pa.int64()), ("lone", pa.bool_()), ("_d", pa.int64()), ("_h", pa.int64()), ("s", pa.int32()), ("o", pa.int32()), ("piece", pa.binary())])
 
-    def pieces(rows: DataFrame) -> DataFrame:
-        """The bytes of the wanted runs. Repeated rows share (_d, _h) and give equal pieces."""
-        per_text = rows.groupBy("_d", "_h").agg(F.collect_list(F.struct("a", "n", "s", "w", "o")).alias("wanted"))
-        return keyed.join(per_text, ["_d", "_h"]).select("_d", "_h", "text", "wanted").mapInArrow(cut, "a long, lone boolean, _d long, _h long, s int, o int, piece binary")
+def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
+    """Ranges of the lone pieces' windows that also are in another piece of the anchor, by suffix sort."""
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        found = []
+        if len(rows) > 1:
+            number = {a: i for i, a in enumerate(dict.fromkeys(r[0] for r in rows))}
+            hits = repeated_windows([r[6] for r in rows], [number[r[0]] for r in rows], [r[5] for r in rows], length)
+            for (_, lone, d, h, s, _, _), hit in zip(rows, hits, strict=True):
+                if lone:
+                    found += [(d, h, s + x, s + y) for x, y in _spans(hit, length)]
+        return _span_batch(found)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            found = []
-            if len(rows) > 1:
-                number = {a: i for i, a in enumerate(dict.fromkeys(r[0] for r in rows))}
-                hits = repeated_windows([r[6] for r in rows], [number[r[0]] for r in rows], [r[5] for r in rows], length)
-                for (_, lone, d, h, s, _, _), hit in zip(rows, hits, strict=True):
-                    if lone:
-                        found += [(d, h, s + x, s + y) for x, y in _spans(hit, length)]
-            return _span_batch(found)
-
-        last = None
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("a", "lone", "_d", "_h", "s", "o", "piece")), strict=True):
                 if size > BLOCK and row[0] != held[-1][0]:
                     yield flush(held)
-                    held, size, last = [], 0, None
-                if row == last:
+                    held, size = [], 0
+                if held and row == held[-1]:  # of a repeated row
                     continue
                 held.append(row)
                 size += len(row[6])
-                last = row
         yield flush(held)
 
-    sorted_ = pieces(wanted.filter(F.col("m") <= hot)).repartition(shuffles(spark), "a").sortWithinPartitions("a", "_d", "_h", "s").mapInArrow(sort, _SPAN_SCHEMA)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for d, h, s, piece in zip(*(b.column(c).to_pylist() for c in ("_d", "_h", "s", "piece")), strict=True):
-                for i in range(len(piece) - length + 1):
-                    rows.append((xxhash.xxh3_128_digest(piece[i : i + length]), d, h, s + i))
-                if len(rows) > 1 << 16:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["k", "_d", "_h", "p"])
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["k", "_d", "_h", "p"])
-
-    single = pieces(wanted.filter(F.col("m") > hot)).select("_d", "_h", "s", "piece").distinct().mapInArrow(windows, "k binary, _d long, _h long, p long")
-    again = single.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k")
-    counted = single.join(again, "k").select("_d", "_h", F.col("p").cast("int").alias("b"), (F.col("p") + length).cast("int").alias("e"))
-    return equal.unionByName(sorted_).unionByName(counted)
+    dealt = pieces.repartition(shuffles(pieces.sparkSession), "a").sortWithinPartitions("a", "_d", "_h", "s")
+    return dealt.mapInArrow(sort, _SPAN_SCHEMA)
 
 
 def merge_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -351,12 +342,12 @@ def merge_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
     return [(b, e) for b, e in out]
 
 
-def remove_duplicates(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = True) -> DataFrame:
+def remove_duplicates(docs: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS, hot: int = HOT, doc_id: str = "doc_id", text: str = "text", keep_bytes: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_bytes: spans, kept) for each row."""
     bound_batches(docs.sparkSession)
-    keyed = docs.select(*row_key(doc_id, text), F.col(text).cast("string").alias("text"))
-    spans = duplicate_spans(keyed, length, gram, hot)
-    per_text = spans.groupBy("_d", "_h").agg(F.collect_list(F.struct("b", "e")).alias("spans"))
+    keyed = docs.select(*row_key(doc_id, text), F.lit(0).cast("long").alias("_b"), F.col(text).cast("string").alias("text"))
+    spans = duplicate_spans(keyed, length, grams, hot)
+    per_text = spans.groupBy("_d", "_h", F.lit(0).cast("long").alias("_b")).agg(F.collect_list(F.struct("b", "e")).alias("spans"))  # keyed as in _pieces, so that both share one exchange of texts
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<b:int,e:int>>, kept binary" * keep_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,7 +363,7 @@ def remove_duplicates(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, h
             yield pa.RecordBatch.from_pylist(rows, out)
 
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("spans", pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))), ("kept", pa.binary())] * keep_bytes)
-    return keyed.join(per_text, ["_d", "_h"], "left").select("_d", "text", "spans").mapInArrow(run, schema)
+    return keyed.join(per_text, ["_d", "_h", "_b"], "left").select("_d", "text", "spans").mapInArrow(run, schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

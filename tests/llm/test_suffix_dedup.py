@@ -39,11 +39,11 @@ def corpus(seed):
     return texts + texts[20:24] + [texts[30] * 2]
 
 
-@pytest.mark.parametrize(("seed", "hot", "length", "gram"), [(1, 1024, 200, 48), (2, 2, 200, 48), (3, 1024, 64, 16)])
-def test_equals_brute_force(spark, seed, hot, length, gram):
+@pytest.mark.parametrize(("seed", "hot", "length", "grams"), [(1, 6000, 200, (64, 150, 200)), (2, 2, 200, (64, 150, 200)), (3, 6000, 64, (16, 64))])
+def test_equals_brute_force(spark, seed, hot, length, grams):
     texts = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
-    got = {r.doc_id: tuple(r)[1:5] for r in remove_duplicates(docs, length, gram, hot).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in remove_duplicates(docs, length, grams, hot).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, length)
 
 
