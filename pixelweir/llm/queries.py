@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelweir.llm import bpe, decontaminate, line_templates, pii, quality, simhash, suffix_dedup
+from pixelweir.llm import bpe, decontaminate, edit_counts, html_text, licences, line_templates, pii, quality, simhash, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_licences": licences.op2_licences,
+    "op3_html_text": html_text.op3_html_text,
     "op4_pii": pii.op4_pii,
     "op5_quality": quality.op5_quality,
     "op6_simhash": simhash.op6_simhash,
     "op7_bpe": bpe.op7_bpe,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_line_templates": line_templates.op9_line_templates,
+    "op10_edit_counts": edit_counts.op10_edit_counts,
 }
 
 ORACLES: dict[str, str] = {}
