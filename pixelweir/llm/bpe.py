@@ -14,6 +14,7 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +23,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from pixelweir.llm.common import bound_batches, read, slices
 
-#: Pre-tokens that a worker remembers; beyond it the memory starts anew. It bounds memory and decides nothing else.
-MEMORY = 400_000
+#: Pre-tokens of a worker's younger memory; at that many, it becomes the older one, and the older one goes. It bounds memory and decides nothing else.
+MEMORY = 450_000
+#: Distinct pre-tokens that one index covers: its lists then stay in the processor's cache.
+BLOCK = 1000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,80 +41,89 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {r: t for t, r in ranks.items()}
-        self.bytes = [ranks[bytes([i])] for i in range(256)]
+        self.singles = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+        self.pairs: dict[int, int] = {}  # left << 32 | right -> rank of what they make
+        self.byte_pairs = np.full((256, 256), -1, np.int64)
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                left, right = ranks.get(token[:i]), ranks.get(token[i:])
+                if left is not None and right is not None:
+                    self.pairs[left << 32 | right] = rank
+            if len(token) == 2:
+                self.byte_pairs[token[0], token[1]] = rank
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        ranks = self.ranks
-        found: list[list[int] | None] = [None] * len(words)
-        parts: list[bytes] = []  # token that starts at a position
-        after: list[int] = []  # next position of the word, or -1
-        before: list[int] = []
-        owner: list[int] = []
-        starts: list[tuple[int, int]] = []
-        index: dict[int, list[int]] = {}
-        for w, word in enumerate(words):
-            r = ranks.get(word)
-            if r is not None:
-                found[w] = [r]
-                continue
-            if not word:
-                found[w] = []
-                continue
-            at, n = len(parts), len(word)
-            starts.append((w, at))
-            parts += [word[i : i + 1] for i in range(n)]
-            before += [-1, *range(at, at + n - 1)]
-            after += [*range(at + 1, at + n), -1]
-            owner += [w] * n
-            for i in range(n - 1):
-                r = ranks.get(word[i : i + 2])
-                if r is not None:
-                    if r in index:
-                        index[r].append(at + i)
-                    else:
-                        index[r] = [at + i]
+        whole = [self.ranks.get(w) for w in words]
+        found: list[list[int]] = [[] if r is None else [r] for r in whole]
+        rest = [i for i, r in enumerate(whole) if r is None and words[i]]
+        if rest:
+            for k in range(0, len(rest), BLOCK):
+                some = rest[k : k + BLOCK]
+                for i, ids in zip(some, self._replay([words[i] for i in some]), strict=True):
+                    found[i] = ids
+        return found
+
+    def _replay(self, words: list[bytes]) -> Iterator[list[int]]:
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.array([len(w) for w in words])
+        ends = np.cumsum(sizes)
+        made = np.full(len(data), -1, np.int64)  # rank of the pair that begins at a place
+        made[:-1] = self.byte_pairs[data[:-1], data[1:]]
+        made[ends - 1] = -1
+        places = np.flatnonzero(made >= 0)
+        places = places[np.argsort(made[places], kind="stable")]
+        edges = np.flatnonzero(np.r_[True, made[places][1:] != made[places][:-1]]) if len(places) else np.zeros(0, np.int64)
+        index = {int(made[part[0]]): part.tolist() for part in np.split(places, edges[1:]) if len(part)}
+        step = np.arange(len(data))
+        after, before = step + 1, step - 1
+        after[ends - 1] = -1
+        before[ends - sizes] = -1
+        after, before = after.tolist(), before.tolist()
+        token = self.singles[data].tolist()  # at a place where one starts, else -1
+        owner = np.repeat(np.arange(len(words)), sizes).tolist()
+        pair = self.pairs.get
         heap = list(index)
         heapq.heapify(heap)
+        push, pop = heapq.heappush, heapq.heappop
         while heap:
-            rank = heapq.heappop(heap)
-            places = index.pop(rank, None)
-            if not places:
+            rank = pop(heap)
+            todo = index.pop(rank, None)
+            if todo is None:
                 continue
-            token = self.tokens[rank]
-            if len(places) > 1:
-                places = sorted(set(places))
+            if len(todo) > 1:
+                todo.sort()
             held = -1  # a word in which a lower or equal rank came up: its other places wait for that one
             wait: list[int] = []
-            for p in places:
+            for p in todo:
                 q = after[p]
-                if q < 0 or parts[p] + parts[q] != token or not parts[q]:
+                if q < 0 or pair(token[p] << 32 | token[q]) != rank:
                     continue
                 if owner[p] == held:
                     wait.append(p)
                     continue
-                parts[p], parts[q] = token, b""
-                after[p] = nxt = after[q]
+                token[p], token[q] = rank, -1
+                after[p] = n = after[q]
                 after[q] = -1
-                prev = before[p]
-                if nxt >= 0:
-                    before[nxt] = p
-                    r = ranks.get(token + parts[nxt])
+                b = before[p]
+                if n >= 0:
+                    before[n] = p
+                    r = pair(rank << 32 | token[n])
                     if r is not None:
                         if r in index:
                             index[r].append(p)
                         else:
                             index[r] = [p]
-                            heapq.heappush(heap, r)
+                            push(heap, r)
                         if r <= rank:
                             held = owner[p]
-                if prev >= 0:
-                    r = ranks.get(parts[prev] + token)
+                if b >= 0:
+                    r = pair(token[b] << 32 | rank)
                     if r is not None:
                         if r in index:
-                            index[r].append(prev)
+                            index[r].append(b)
                         else:
-                            index[r] = [prev]
-                            heapq.heappush(heap, r)
+                            index[r] = [b]
+                            push(heap, r)
                         if r <= rank:
                             held = owner[p]
             if wait:
@@ -119,14 +131,11 @@ class MergeReplay:
                     index[rank] += wait
                 else:
                     index[rank] = wait
-                    heapq.heappush(heap, rank)
-        for w, at in starts:
-            ids, p = [], at
-            while p >= 0:
-                ids.append(ranks[parts[p]])
-                p = after[p]
-            found[w] = ids
-        return found  # type: ignore[return-value]
+                    push(heap, rank)
+        at = 0
+        for end in ends.tolist():
+            yield [t for t in token[at:end] if t >= 0]
+            at = end
 
     def decode(self, ids: Iterable[int]) -> bytes:
         tokens = self.tokens
@@ -138,25 +147,34 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay, self.split = MergeReplay(ranks), regex.compile(pattern).findall
-        self.ids: dict[str, list[int]] = {}
-        self.listed: dict[str, str] = {}
+        self.listed: dict[str, str] = {}  # pre-token -> its ids, comma-joined
+        self.plain: dict[str, bytes] = {}  # pre-token -> its ids, decoded
+        self.older: tuple[dict[str, str], dict[str, bytes]] = {}, {}
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Encodes those of the words that aren't known yet, together."""
-        new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > MEMORY:
-            self.ids.clear()
-            self.listed.clear()
+        new = [w for w in words if w not in self.listed]
+        if len(self.listed) + len(new) > MEMORY:
+            self.older = self.listed, self.plain
+            self.listed, self.plain = {}, {}
             new = list(words)
+        if self.older[0]:
+            listed, plain = self.older
+            for w in new:
+                if w in listed:
+                    self.listed[w], self.plain[w] = listed[w], plain[w]
+            new = [w for w in new if w not in listed]
         for w, ids in zip(new, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in new]), strict=True):
-            self.ids[w] = ids
             self.listed[w] = ",".join(map(str, ids))
+            self.plain[w] = self.replay.decode(ids)
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
+        """The comma-joined ids of each text, and the bytes that they decode to."""
         cut = [self.split(t) if t else [] for t in texts]
-        self.learn(set().union(*cut) if cut else ())
+        self.learn(set().union(*cut))
+        listed, plain = self.listed.__getitem__, self.plain.__getitem__
         for words in cut:
-            yield [i for w in words for i in self.ids[w]]
+            yield ",".join(map(listed, words)), b"".join(map(plain, words))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -202,31 +220,16 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(raw.value, pat)
-        tokens = enc.replay.tokens
         sha = hashlib.sha256
         for whole in batches:
-            for batch in slices(whole, text):
-                texts = batch.column(text).to_pylist()
-                cut = [enc.split(t) if t else [] for t in texts]
-                enc.learn(set().union(*cut) if cut else ())
-                known, listed = enc.ids, enc.listed
+            for batch in slices(whole, text, 8 << 20):
                 counts, digests, decoded, all_ids, all_bytes = [], [], [], [], []
-                back = {}
-                for words in cut:
-                    digests.append(sha(",".join([listed[w] for w in words]).encode()).hexdigest())
-                    n, pieces = 0, []
-                    for w in words:
-                        got = back.get(w)
-                        if got is None:
-                            ids = known[w]
-                            got = back[w] = (len(ids), b"".join([tokens[i] for i in ids]))
-                        n += got[0]
-                        pieces.append(got[1])
-                    plain = b"".join(pieces)
-                    counts.append(n)
+                for ids, plain in enc.encode(batch.column(text).to_pylist()):
+                    counts.append(ids.count(",") + 1 if ids else 0)
+                    digests.append(sha(ids.encode()).hexdigest())
                     decoded.append(sha(plain).hexdigest())
                     if keep_ids:
-                        all_ids.append([i for w in words for i in known[w]])
+                        all_ids.append(np.fromstring(ids, np.int32, sep=","))
                         all_bytes.append(plain)
                 columns = [*batch.columns, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
                 names = [*batch.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"]
