@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import bound_batches, read, slices
+from pixelweir.llm.common import bound_batches, read, row_key, slices
 from pixelweir.llm.rolling import gram_hashes, word_hashes
 
 #: Words of a seed; an item's score over its own from which it counts as found.
@@ -235,9 +235,10 @@ def _against(source: DataFrame, block: Items, least: float, kind) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs that hold no item, with their own columns. Rows that share an id share the verdict; rows without an id stay."""
-    found = find(docs.filter("doc_id is not null"), items, least).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that hold no item, with their own columns."""
+    key = F.xxhash64(*row_key())
+    found = find(docs.select(key.alias("doc_id"), "text"), items, least).select(F.col("doc_id").alias("_row")).distinct()
+    return docs.withColumn("_row", key).join(found, "_row", "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

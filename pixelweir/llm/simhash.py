@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import bound_batches, durable, read, shuffles
+from pixelweir.llm.common import NULL_ID, bound_batches, durable, read, row_key, shuffles
 
 #: Generator polynomial of the (23,12) Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1. A fixed value.
 GOLAY = 0b110001110101
@@ -160,16 +160,16 @@ def _signed(x) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+    """(doc_id, h, fp): the text's XXH64, and the fingerprint as a signed long."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_signed(prints))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(_signed(prints))], ["doc_id", "h", "fp"])
 
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def links(prints: DataFrame, most: int = 3) -> DataFrame:
@@ -249,17 +249,33 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v"), F.col("v"))).distinct()
 
 
+def groups(prints: DataFrame, most: int = 3) -> DataFrame:
+    """(fp, label): for each distinct fingerprint the smallest one reachable."""
+    distinct = durable(prints.select("fp").distinct())
+    found = components(links(distinct, most))
+    return durable(distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("label", "fp").alias("label")))
+
+
 def near_duplicates(docs: DataFrame, most: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) for each row: component_id is the smallest doc_id reachable over links of `most` bits."""
     prints = durable(fingerprints(docs, doc_id, text))
-    distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    found = components(links(distinct, most))
-    label = distinct.join(found, distinct.fp == found.node, "left").select("fp", F.coalesce("label", "fp").alias("label"), "first_id")
-    lowest = label.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    label = groups(prints, most)
+    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    lowest = label.join(first, "fp").groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_print = durable(label.join(lowest, "label").select("fp", "component_id"))
     return prints.join(by_print, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, most: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each component, with its own columns: that of the smallest doc_id (null last), of equal rows any one."""
+    prints = durable(fingerprints(docs, doc_id, text))
+    ranked = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("_d"), F.col("h").alias("_h"))
+    best = prints.groupBy("fp").agg(F.min(ranked).alias("k")).join(groups(prints, most), "fp").groupBy("label").agg(F.min("k").alias("k"))
+    keyed = docs.select("*", *row_key(doc_id, text))
+    chosen = keyed.join(best.select("k._d", "k._h"), ["_d", "_h"], "left_semi")
+    return chosen.dropDuplicates(["_d", "_h"]).select(*docs.columns)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
