@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Linear sRGB to XYZ, and the D65 white point of the 2-degree observer.
@@ -51,37 +51,67 @@ def delta_e76(p: tuple[Column, ...], q: tuple[Column, ...]) -> Column:
     return F.sqrt(sum((F.pow(x - y, F.lit(2.0)) for x, y in zip(p, q, strict=True)), F.lit(0.0)))
 
 
-def delta_e2000(p: tuple[Column, ...], q: tuple[Column, ...]) -> Column:
-    """CIEDE2000. Achromatic colours have hue 0; hue differences and means wrap at 180 degrees."""
-    l1, a1, b1 = p
-    l2, a2, b2 = q
+def _staged(df: DataFrame, steps: list[dict[str, Column]], keep: list[str]) -> DataFrame:
+    """Adds columns step by step, so that each value is computed once.
+
+    As one expression the tree would double with every use, and so would plain projections once the optimizer merges
+    them or carries a filter through them. A one-row inline() between steps keeps them apart and stays in codegen.
+    """
+    for step in steps:
+        df = df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in step.items()]))))
+    return df.select(*keep)
+
+
+def with_lab(df: DataFrame, rgb: tuple[str, str, str] = ("r", "g", "b"), out: tuple[str, str, str] = ("l", "la", "lb")) -> DataFrame:
+    """Adds CIELAB columns for 8-bit (or finer) sRGB columns."""
+    c = F.col
+    return _staged(
+        df,
+        [
+            {f"_v{k}": linear(c(name)) for k, name in enumerate(rgb)},
+            {f"_t{k}": (row[0] * c("_v0") + row[1] * c("_v1") + row[2] * c("_v2")) / w for k, (row, w) in enumerate(zip(RGB_TO_XYZ, WHITE, strict=True))},
+            {f"_f{k}": _f(c(f"_t{k}")) for k in range(3)},
+            {out[0]: 116.0 * c("_f1") - 16.0, out[1]: 500.0 * (c("_f0") - c("_f1")), out[2]: 200.0 * (c("_f1") - c("_f2"))},
+        ],
+        [*[x for x in df.columns if x not in out], *out],
+    )
+
+
+def with_delta_e2000(df: DataFrame, p: tuple[str, str, str], q: tuple[str, str, str], out: str = "de") -> DataFrame:
+    """Adds CIEDE2000 between LAB columns p and q. Achromatic colours have hue 0; hue differences and means wrap at 180 degrees."""
+    c = F.col
+    (l1, a1, b1), (l2, a2, b2) = ([c(x) for x in s] for s in (p, q))
     sq = lambda x: x * x
-    c7 = F.pow((F.sqrt(sq(a1) + sq(b1)) + F.sqrt(sq(a2) + sq(b2))) / 2.0, F.lit(7.0))
-    g = 1.0 + 0.5 * (1.0 - F.sqrt(c7 / (c7 + float(25**7))))
-    u1, u2 = a1 * g, a2 * g
-    c1, c2 = F.sqrt(sq(u1) + sq(b1)), F.sqrt(sq(u2) + sq(b2))
+    cos = lambda x: F.cos(F.radians(x))
+    far = float(25**7)
 
     def hue(b: Column, u: Column) -> Column:
-        h = F.when((b == 0) & (u == 0), 0.0).otherwise(F.degrees(F.atan2(b, u)))
-        return F.when(h < 0, h + 360.0).otherwise(h)
-
-    h1, h2 = hue(b1, u1), hue(b2, u2)
-    gray = (c1 * c2) == 0
-    turn = h2 - h1
-    dh = F.when(gray, 0.0).when(turn > 180.0, turn - 360.0).when(turn < -180.0, turn + 360.0).otherwise(turn)
-    dl, dc = l2 - l1, c2 - c1
-    big = 2.0 * F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2.0))
-    lm, cm, total = (l1 + l2) / 2.0, (c1 + c2) / 2.0, h1 + h2
-    hm = F.when(gray, total).when(F.abs(h1 - h2) <= 180.0, total / 2.0).when(total < 360.0, (total + 360.0) / 2.0).otherwise((total - 360.0) / 2.0)
-    cos = lambda x: F.cos(F.radians(x))
-    t = 1.0 - 0.17 * cos(hm - 30.0) + 0.24 * cos(2.0 * hm) + 0.32 * cos(3.0 * hm + 6.0) - 0.20 * cos(4.0 * hm - 63.0)
-    cm7 = F.pow(cm, F.lit(7.0))
-    rc = 2.0 * F.sqrt(cm7 / (cm7 + float(25**7)))
-    rt = -F.sin(F.radians(60.0 * F.exp(-sq((hm - 275.0) / 25.0)))) * rc
-    sl = 1.0 + 0.015 * sq(lm - 50.0) / F.sqrt(20.0 + sq(lm - 50.0))
-    sc, sh = 1.0 + 0.045 * cm, 1.0 + 0.015 * cm * t
-    x, y, z = dl / sl, dc / sc, big / sh
-    return F.sqrt(F.greatest(sq(x) + sq(y) + sq(z) + rt * y * z, F.lit(0.0)))
+        return F.when((b == 0) & (u == 0), 0.0).otherwise(F.degrees(F.atan2(b, u)))
+
+    turn, total = c("_h2") - c("_h1"), c("_h1") + c("_h2")
+    gray = (c("_c1") * c("_c2")) == 0
+    steps = [
+        {"_c7": F.pow((F.sqrt(sq(a1) + sq(b1)) + F.sqrt(sq(a2) + sq(b2))) / 2.0, F.lit(7.0))},
+        {"_g": 1.0 + 0.5 * (1.0 - F.sqrt(c("_c7") / (c("_c7") + far)))},
+        {"_u1": a1 * c("_g"), "_u2": a2 * c("_g")},
+        {"_c1": F.sqrt(sq(c("_u1")) + sq(b1)), "_c2": F.sqrt(sq(c("_u2")) + sq(b2)), "_a1": hue(b1, c("_u1")), "_a2": hue(b2, c("_u2"))},
+        {f"_h{k}": F.when(c(f"_a{k}") < 0, c(f"_a{k}") + 360.0).otherwise(c(f"_a{k}")) for k in (1, 2)},
+        {
+            "_dh": F.when(gray, 0.0).when(turn > 180.0, turn - 360.0).when(turn < -180.0, turn + 360.0).otherwise(turn),
+            "_hm": F.when(gray, total).when(F.abs(turn) <= 180.0, total / 2.0).when(total < 360.0, (total + 360.0) / 2.0).otherwise((total - 360.0) / 2.0),
+            "_lm": sq((l1 + l2) / 2.0 - 50.0),
+            "_cm": (c("_c1") + c("_c2")) / 2.0,
+        },
+        {"_t": 1.0 - 0.17 * cos(c("_hm") - 30.0) + 0.24 * cos(2.0 * c("_hm")) + 0.32 * cos(3.0 * c("_hm") + 6.0) - 0.20 * cos(4.0 * c("_hm") - 63.0), "_m7": F.pow(c("_cm"), F.lit(7.0))},
+        {
+            "_x": (l2 - l1) / (1.0 + 0.015 * c("_lm") / F.sqrt(20.0 + c("_lm"))),
+            "_y": (c("_c2") - c("_c1")) / (1.0 + 0.045 * c("_cm")),
+            "_z": 2.0 * F.sqrt(c("_c1") * c("_c2")) * F.sin(F.radians(c("_dh") / 2.0)) / (1.0 + 0.015 * c("_cm") * c("_t")),
+            "_r": -F.sin(F.radians(60.0 * F.exp(-sq((c("_hm") - 275.0) / 25.0)))) * 2.0 * F.sqrt(c("_m7") / (c("_m7") + far)),
+        },
+        {out: F.sqrt(F.greatest(sq(c("_x")) + sq(c("_y")) + sq(c("_z")) + c("_r") * c("_y") * c("_z"), F.lit(0.0)))},
+    ]
+    return _staged(df, steps, [*[x for x in df.columns if x != out], out])
 
 
 def code(r: Column, g: Column, b: Column) -> Column:

@@ -66,7 +66,13 @@ def safe_filename(raw: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    return F.when(n < 1024, F.format_string("%d B", n)).when(n < 1 << 20, F.format_string("%.1f KB", n / 1024.0)).otherwise(F.format_string("%.1f MB", n / float(1 << 20)))
+    """Bytes, or KB and MB to a tenth."""
+
+    def tenths(unit: float, name: str) -> Column:
+        t = F.floor(n * 10 / F.lit(unit) + 0.5)
+        return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"), F.lit(f" {name}"))
+
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, tenths(1024.0, "KB")).otherwise(tenths(1048576.0, "MB"))
 
 
 def time_budget(width: Column, height: Column) -> Column:

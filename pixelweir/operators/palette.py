@@ -10,8 +10,7 @@ from pixelweir.functions import color, text
 
 def lab_columns(df: DataFrame) -> DataFrame:
     """Adds l, la, lb to r, g, b."""
-    l, a, b = color.rgb_to_lab(F.col("r"), F.col("g"), F.col("b"))  # noqa: E741
-    return df.withColumns({"l": l, "la": a, "lb": b})
+    return color.with_lab(df)
 
 
 def histogram(px: DataFrame) -> DataFrame:
@@ -55,7 +54,8 @@ def fit_points(points: DataFrame, most: int = 20_000, step: float = 1.0) -> Data
 
 def lower_median(px: DataFrame, by: list[str], columns: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
     """The first value whose cumulative count reaches half, of each column."""
-    return px.groupBy(*by).agg(*[F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").alias(c) for c in columns])
+    kinds = dict(px.dtypes)
+    return px.groupBy(*by).agg(*[F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").cast(kinds[c]).alias(c) for c in columns])
 
 
 def mean_median(px: DataFrame, by: list[str], columns: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
@@ -150,11 +150,14 @@ def blends(table: DataFrame, tolerance: float = 6.0) -> DataFrame:
     t3 = one("c").join(one("a"), "image_id").filter("c <> a").join(one("b"), "image_id").filter("a < b AND b <> c")
     span = [F.col(f"{k}a") - F.col(f"{k}b") for k in "rgb"]
     part = [F.col(f"{k}c") - F.col(f"{k}b") for k in "rgb"]
-    denominator = sum((s * s for s in span), F.lit(0.0))
-    t3 = t3.withColumn("den", denominator).filter("den > 0").withColumn("t", sum((p * s for p, s in zip(part, span, strict=True)), F.lit(0.0)) / F.col("den")).filter("t BETWEEN 0.1 AND 0.9")
-    mixed = [F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint(F.col(f"{k}b") + F.col("t") * s))) for k, s in zip("rgb", span, strict=True)]
-    de = color.delta_e76(color.rgb_to_lab(*mixed), color.rgb_to_lab(*[F.col(f"{k}c") for k in "rgb"]))
-    return t3.withColumn("de", de).filter(F.col("de") < tolerance).select("image_id", "c", "a", "b", "t", "de")
+    den = sum((s * s for s in span), F.lit(0.0))
+    t3 = t3.withColumn("t", sum((p * s for p, s in zip(part, span, strict=True)), F.lit(0.0)) / F.nullif(den, F.lit(0.0))).filter("t BETWEEN 0.1 AND 0.9")
+    mixed = {f"m{k}": F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint(F.col(f"{k}b") + F.col("t") * s))) for k, s in zip("rgb", span, strict=True)}
+    both = color.with_lab(color.with_lab(t3.withColumns(mixed), ("mr", "mg", "mb"), ("l1", "a1", "b1")), ("rc", "gc", "bc"), ("l2", "a2", "b2"))
+    de = color.delta_e76(tuple(F.col(c) for c in ("l1", "a1", "b1")), tuple(F.col(c) for c in ("l2", "a2", "b2")))
+    # a filter would be pushed below the steps and repeat them all; an explode of at most one value isn't
+    near = F.explode(F.when(F.col("de") < tolerance, F.array("de")))
+    return both.withColumn("de", de).select("image_id", "c", "a", "b", "t", near.alias("de"))
 
 
 def kmeans(points: DataFrame, columns: list[str], k: int, rounds: int) -> DataFrame:
@@ -172,11 +175,11 @@ def kmeans(points: DataFrame, columns: list[str], k: int, rounds: int) -> DataFr
 
 def layer_palette_index(layers: DataFrame, table: DataFrame) -> DataFrame:
     """(image_id, layer, idx): the explicit index, else the colour's, else the nearest by CIEDE2000 (the first of equals)."""
-    pal = lab_columns(table.select("image_id", "idx", "hex", "r", "g", "b")).select("image_id", "idx", "hex", F.struct("l", "la", "lb").alias("p"))
+    pal = color.with_lab(table.select("image_id", "idx", "hex", "r", "g", "b"), out=("pl", "pa", "pb")).drop("r", "g", "b")
     r, g, b = color.from_hex(F.col("color_hex"))
-    own = lab_columns(layers.withColumns({"r": r, "g": g, "b": b})).select("image_id", "layer", "color_hex", "palette_index", F.struct("l", "la", "lb").alias("q"))
-    pair = own.join(pal, "image_id")
-    lab = lambda s: tuple(F.col(s)[c] for c in ("l", "la", "lb"))
-    rank = F.struct((F.col("hex") != F.col("color_hex")).alias("other"), F.when(F.col("hex") == F.col("color_hex"), 0.0).otherwise(F.round(color.delta_e2000(lab("q"), lab("p")), 9)).alias("de"), "idx")
+    own = color.with_lab(layers.withColumns({"r": r, "g": g, "b": b}), out=("ql", "qa", "qb")).drop("r", "g", "b")
+    pair = color.with_delta_e2000(own.join(pal, "image_id"), ("ql", "qa", "qb"), ("pl", "pa", "pb"))
+    same = F.col("hex") == F.col("color_hex")
+    rank = F.struct((~same).alias("other"), F.when(same, 0.0).otherwise(F.round("de", 9)).alias("de"), "idx")
     best = pair.groupBy("image_id", "layer", "palette_index").agg(F.min(rank).alias("best"))
     return best.select("image_id", "layer", F.coalesce("palette_index", F.col("best.idx")).cast("int").alias("idx"))

@@ -31,17 +31,13 @@ def gaps(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _lab(prefix: str = "") -> tuple[Column, Column, Column]:
-    return color.rgb_to_lab(*[F.col(f"{prefix}{c}") for c in "rgb"])
-
-
 def region_delta_e(source: DataFrame, layers: DataFrame) -> DataFrame:
     """(image_id, label, n, delta_e): CIEDE2000 between each layer's colour (image_id, label, lr, lg, lb) and the median LAB of its opaque source pixels."""
-    lab = source.filter(color.opaque(F.col("a"))).select("image_id", "label", *[c.alias(n) for c, n in zip(_lab(), ("l", "la", "lb"), strict=True)])
+    lab = color.with_lab(source.filter(color.opaque(F.col("a"))))
     middle = lab.groupBy("image_id", "label").agg(F.count("*").alias("n"), *[F.expr(f"percentile({c}, 0.5)").alias(c) for c in ("l", "la", "lb")])
-    own = layers.select("image_id", "label", *[c.alias(n) for c, n in zip(_lab("l"), ("ol", "oa", "ob"), strict=True)])
-    de = color.delta_e2000((F.col("ol"), F.col("oa"), F.col("ob")), (F.col("l"), F.col("la"), F.col("lb")))
-    return middle.join(own, ["image_id", "label"]).select("image_id", "label", "n", de.alias("delta_e"))
+    own = color.with_lab(layers, ("lr", "lg", "lb"), ("ol", "oa", "ob")).select("image_id", "label", "ol", "oa", "ob")
+    out = color.with_delta_e2000(middle.join(own, ["image_id", "label"]), ("ol", "oa", "ob"), ("l", "la", "lb"), "delta_e")
+    return out.select("image_id", "label", "n", "delta_e")
 
 
 def uncovered(source: DataFrame, layers: DataFrame, share: float = UNCOVERED_SHARE) -> DataFrame:
@@ -55,9 +51,10 @@ def pixel_delta_e(pairs: DataFrame, most: int = 200_000) -> DataFrame:
     """(image_id, p95): 95th percentile, interpolated, of CIEDE2000 over white inside the eroded opaque area, evenly strided."""
     inner = grid.erode(pairs, F.col("a") >= 128, 1, "inside").filter("inside")
     some = palette.stride_sample(inner, ["image_id"], ["y", "x"], most)
-    white = lambda p: [color.over_white(F.col(f"{p}{c}"), F.col(f"{p}a")) * 255.0 for c in "rgb"]
-    de = color.delta_e2000(color.rgb_to_lab(*white("")), color.rgb_to_lab(*white("p")))
-    return some.select("image_id", de.alias("de")).groupBy("image_id").agg(F.expr("percentile(de, 0.95)").alias("p95"))
+    white = {f"{p}w{c}": color.over_white(F.col(f"{p}{c}"), F.col(f"{p}a")) * 255.0 for p in ("", "p") for c in "rgb"}
+    both = color.with_lab(color.with_lab(some.withColumns(white), ("wr", "wg", "wb"), ("l1", "a1", "b1")), ("pwr", "pwg", "pwb"), ("l2", "a2", "b2"))
+    de = color.with_delta_e2000(both, ("l1", "a1", "b1"), ("l2", "a2", "b2"))
+    return de.groupBy("image_id").agg(F.expr("percentile(de, 0.95)").alias("p95"))
 
 
 def passes(value: Column, comparator: Column, threshold: Column) -> Column:
