@@ -341,4 +341,11 @@ m AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY updated DESC, nw
     "number_format": f"""WITH n AS (SELECT event_id, user_id, CAST(round_even((event_id % 4001 - 2000)/16.0::DOUBLE*100, 0) AS BIGINT) AS k, event_id * 977 AS z FROM events)
 SELECT event_id, {_NUM.format('k')} AS number, CASE WHEN z < 1024 THEN printf('%d B', z) WHEN z < 1048576 THEN (z*10*2+1024)//2048//10 || '.' || (z*10*2+1024)//2048%10 || ' KB' ELSE (z*10*2+1048576)//2097152//10 || '.' || (z*10*2+1048576)//2097152%10 || ' MB' END AS size,
 round(greatest(0.5::DOUBLE, round_even((event_id % 97)/7.0::DOUBLE/2.0::DOUBLE/0.5::DOUBLE, 0)*0.5::DOUBLE), 6) AS stroke, round(least(CASE WHEN least(event_id % 3000 + 1, user_id*20+1) < 500 THEN 2.0::DOUBLE ELSE 1 END, 2048.0::DOUBLE/greatest(event_id % 3000 + 1, user_id*20+1)), 6) AS scale FROM n""",
+    "fill_transparent": q(
+        f"SELECT {b('image_id', 'y', 'x')}, CAST(coalesce(nr, r) AS BIGINT) AS r, CAST(coalesce(ng, g) AS BIGINT) AS g, CAST(coalesce(nb, b) AS BIGINT) AS b, CAST(a AS BIGINT) AS a FROM px LEFT JOIN ft USING (image_id, y, x)",
+        "ft AS (SELECT image_id, y, x, nr, ng, nb FROM (SELECT p.image_id, p.y, p.x, o.r AS nr, o.g AS ng, o.b AS nb, row_number() OVER (PARTITION BY p.image_id, p.y, p.x ORDER BY pow(p.y-o.y,2)+pow(p.x-o.x,2), o.y, o.x) AS k FROM px p JOIN px o ON o.image_id = p.image_id AND p.a < 128 AND o.a >= 128) WHERE k = 1)",
+    ),
+    "distance_transform": q(
+        f"SELECT {b('p.image_id', 'p.y', 'p.x')}, round(sqrt(least(coalesce(min(pow(p.y-o.y,2)+pow(p.x-o.x,2)), 1e9::DOUBLE), pow(least(p.y+1, 20-p.y, p.x+1, 25-p.x), 2))), 6) AS d FROM px p LEFT JOIN px o ON o.image_id = p.image_id AND o.label < 3 WHERE p.label >= 3 GROUP BY p.image_id, p.y, p.x"
+    ),
 }

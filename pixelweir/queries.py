@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pixelweir.functions import color, text
 from pixelweir.operators import documents, grid, jobs, palette, quality, regions
 from pixelweir.oracles import ORACLES  # noqa: F401
+from pixelweir.plans import convert
 from pixelweir.sources import raster
 
 H, W = raster.HEIGHT, raster.WIDTH
@@ -615,5 +615,46 @@ def number_format(spark: SparkSession, sf: str) -> DataFrame:
     return big(e.select("event_id", text.number(v).alias("number"), text.size_text(F.col("event_id") * 977).alias("size"), text.stroke_width((F.col("event_id") % 97) / 7.0, F.lit(2.0)).alias("stroke"), text.target_scale(F.col("event_id") % 3000 + 1, F.col("user_id") * 20 + 1).alias("scale")), "stroke", "scale")
 
 
-def union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
+@on_raster
+def fill_transparent(px: DataFrame) -> DataFrame:
+    return big(convert.fill_transparent(px))
+
+
+@on_raster
+def distance_transform(px: DataFrame) -> DataFrame:
+    return big(convert.distances(px, F.col("label") >= 3), "d")
+
+
+@on_raster
+def background_removed(px: DataFrame) -> DataFrame:
+    return big(convert.remove_background(px, palette.detect_background(px, on_border(px))))
+
+
+@on_raster
+def denoised(px: DataFrame) -> DataFrame:
+    return big(convert.denoise(px))
+
+
+@on_raster
+def quantize_auto(px: DataFrame) -> DataFrame:
+    return big(convert.quantize(px))
+
+
+@on_raster
+def skeleton_widths(px: DataFrame) -> DataFrame:
+    return big(convert.skeleton(px, F.col("label") >= 3), "width")
+
+
+@on_raster
+def centerline_paths(px: DataFrame) -> DataFrame:
+    return big(convert.centerlines(px, F.col("label") >= 3), "width")
+
+
+@on_raster
+def traced_layers(px: DataFrame) -> DataFrame:
+    return big(convert.trace(px))
+
+
+@on_raster
+def converted_documents(px: DataFrame) -> DataFrame:
+    return big(convert.convert(px, W, H).select("image_id", "n_layers", "n_nodes", F.length("svg").alias("svg_size"), F.length("eps").alias("eps_size")))
