@@ -154,7 +154,14 @@ ft AS (SELECT image_id, greatest(1/(1+exp(-(ink*0.35::DOUBLE-0.25::DOUBLE)/0.05:
 cs AS (SELECT image_id, g+(1-g)*(1-ln)*o AS p_mixed, (1-g)*ln AS p_line_art, (1-g)*(1-ln)*(1-o) AS p_flat_color FROM ft)"""
 _SSIM = f"""gp AS (SELECT px.image_id, px.y, px.x, {_gray('px.')} AS p, {_gray('rd.')} AS q FROM px JOIN rd USING (image_id, y, x)),
 sw AS (SELECT c.image_id, c.y, c.x, sum(n.p)/49 AS p, sum(n.q)/49 AS q, sum(n.p*n.p)/49 AS pp, sum(n.q*n.q)/49 AS qq, sum(n.p*n.q)/49 AS pq FROM gp c JOIN gp n ON n.image_id = c.image_id AND n.y BETWEEN c.y-3 AND c.y+3 AND n.x BETWEEN c.x-3 AND c.x+3 WHERE c.y BETWEEN 3 AND 16 AND c.x BETWEEN 3 AND 21 GROUP BY ALL)"""
-_OVER = "0.5::DOUBLE"
+_INK = f"""op AS (SELECT * FROM px WHERE a >= 128), {lab('op', 'ol')}, iv AS (SELECT *, CAST(floor(l*2.55::DOUBLE) AS BIGINT) AS v FROM ol),
+i1 AS (SELECT image_id, v, count(*)::DOUBLE AS k FROM iv GROUP BY ALL),
+i2 AS (SELECT image_id, v, sum(k) OVER u AS n0, sum(k*v) OVER u AS s0, sum(k) OVER i AS n, sum(k*v) OVER i AS s FROM i1 WINDOW u AS (PARTITION BY image_id ORDER BY v ROWS UNBOUNDED PRECEDING), i AS (PARTITION BY image_id)),
+i3 AS (SELECT image_id, arg_max(v, round(CASE WHEN n > n0 THEN n0*(n-n0)*pow(s0/n0-(s-s0)/(n-n0), 2) ELSE -1 END, 3) * 1000000 - v) AS th FROM i2 GROUP BY ALL),
+i4 AS (SELECT iv.* FROM iv JOIN i3 USING (image_id) WHERE l <= least(th/2.55::DOUBLE, 40)),
+i5 AS (SELECT image_id, quantile_cont(l, 0.05) AS l0 FROM i4 GROUP BY image_id HAVING count(*) >= 4),
+ic AS (SELECT image_id, floor(quantile_cont(r::DOUBLE, 0.5)) AS ir, floor(quantile_cont(g::DOUBLE, 0.5)) AS ig, floor(quantile_cont(b::DOUBLE, 0.5)) AS ib FROM i4 JOIN i5 USING (image_id) WHERE l <= l0 + 10 GROUP BY ALL)"""
+_SRGB = "CAST(round_even(255*least(1, greatest(0, CASE WHEN {0} > 0.0031308 THEN 1.055::DOUBLE*pow(greatest({0}, 0), 1/2.4::DOUBLE) - 0.055::DOUBLE ELSE 12.92::DOUBLE*{0} END)), 0) AS INTEGER)"
 
 ORACLES: dict[str, str] = {
     "raster_scan": q(f"SELECT {b('image_id', 'y', 'x', 'label', 'r', 'g', 'b', 'a')}, {_EDGE} AS on_border FROM px"),
@@ -348,4 +355,57 @@ round(greatest(0.5::DOUBLE, round_even((event_id % 97)/7.0::DOUBLE/2.0::DOUBLE/0
     "distance_transform": q(
         f"SELECT {b('p.image_id', 'p.y', 'p.x')}, round(sqrt(least(coalesce(min(pow(p.y-o.y,2)+pow(p.x-o.x,2)), 1e9::DOUBLE), pow(least(p.y+1, 20-p.y, p.x+1, 25-p.x), 2))), 6) AS d FROM px p LEFT JOIN px o ON o.image_id = p.image_id AND o.label < 3 WHERE p.label >= 3 GROUP BY p.image_id, p.y, p.x"
     ),
+    "otsu_threshold": q(
+        f"SELECT {b('image_id')}, CAST(arg_max(v, round(CASE WHEN n > n0 THEN n0*(n-n0)*pow(s0/n0-(s-s0)/(n-n0), 2) ELSE -1 END, 3) * 1000000 - v) AS BIGINT) AS threshold FROM o2 GROUP BY ALL",
+        f"o1 AS (SELECT image_id, {_LUMA} AS v, count(*)::DOUBLE AS k FROM px GROUP BY ALL)",
+        "o2 AS (SELECT image_id, v, sum(k) OVER u AS n0, sum(k*v) OVER u AS s0, sum(k) OVER i AS n, sum(k*v) OVER i AS s FROM o1 WINDOW u AS (PARTITION BY image_id ORDER BY v ROWS UNBOUNDED PRECEDING), i AS (PARTITION BY image_id))",
+    ),
+    "line_art_stroke_mask": q(
+        f"SELECT {b('m.image_id', 'm.y', 'm.x')} FROM mx m JOIN hi USING (image_id) WHERE m.a >= 128 AND (o <= 0.75::DOUBLE OR (s >= least(120, greatest(30, 0.35::DOUBLE*h)) AND s >= 0.5::DOUBLE*mm))",
+        _DOM,
+        "dc AS (SELECT image_id, floor(quantile_cont(r::DOUBLE, 0.5)) AS cr, floor(quantile_cont(g::DOUBLE, 0.5)) AS cg, floor(quantile_cont(b::DOUBLE, 0.5)) AS cb FROM db JOIN dk USING (image_id, bin) WHERE k = 1 GROUP BY ALL)",
+        "ds AS (SELECT px.*, CASE WHEN a >= 128 THEN sqrt(pow(r-cr,2)+pow(g-cg,2)+pow(b-cb,2)) ELSE 0 END AS s FROM px JOIN dc USING (image_id))",
+        "mx AS (SELECT p.image_id, p.y, p.x, p.a, p.s, max(n.s) AS mm FROM ds p JOIN " + _NEAR.format("ds") + " GROUP BY ALL)",
+        "hi AS (SELECT image_id, quantile_cont(s, 0.9) FILTER (WHERE s > 20) AS h, avg(CASE WHEN a >= 128 THEN 1.0::DOUBLE ELSE 0 END) AS o FROM ds GROUP BY ALL)",
+    ),
+    "ink_color": q(f"SELECT {b('image_id', 'ir AS r', 'ig AS g', 'ib AS b')} FROM ic", _INK),
+    "mixed_stroke_mask": q(
+        f"SELECT {b('image_id', 'y', 'x')} FROM mi WHERE a >= 128 AND (t <= 60 OR (near AND t <= 0.5::DOUBLE*mm))",
+        _INK,
+        "it AS (SELECT px.*, CASE WHEN a >= 128 THEN sqrt(pow(r-ir,2)+pow(g-ig,2)+pow(b-ib,2)) ELSE 0 END AS t FROM px JOIN ic USING (image_id))",
+        "mi AS (SELECT p.image_id, p.y, p.x, p.a, p.t, max(n.t) AS mm, bool_or(n.a >= 128 AND n.t <= 60) AS near FROM it p JOIN " + _NEAR.format("it") + " GROUP BY ALL)",
+    ),
+    "gradient_ramps": q(
+        f"SELECT {b('image_id')}, round(avg(CASE WHEN n = 9 AND mina >= 128 AND s2 > 0.25 THEN 1.0::DOUBLE ELSE 0 END), 6) AS ramp FROM sl9 GROUP BY ALL",
+        lab("px", "pl"),
+        "cl5 AS (SELECT image_id, y // 5 AS y, x // 5 AS x, avg(l) AS l, avg(la) AS la, avg(lb) AS lb, min(a) AS a FROM pl GROUP BY image_id, y // 5, x // 5)",
+        "sl9 AS (SELECT p.image_id, p.y, p.x, count(*) AS n, min(n.a) AS mina, "
+        + " + ".join(f"pow(sum(n.{c} * (n.{d} - p.{d}) * CASE WHEN n.{e} = p.{e} THEN 2 ELSE 1 END)/8, 2)" for c in ("l", "la", "lb") for d, e in (("x", "y"), ("y", "x")))
+        + " AS s2 FROM cl5 p JOIN "
+        + _NEAR.format("cl5")
+        + " GROUP BY p.image_id, p.y, p.x)",
+    ),
+    "final_colors": q(
+        f"SELECT {b('image_id', 'label', 'np AS n_pure')}, CAST(quantile_disc(r, 0.5) AS BIGINT) AS r, CAST(quantile_disc(g, 0.5) AS BIGINT) AS g, CAST(quantile_disc(b, 0.5) AS BIGINT) AS b FROM f2 WHERE np < greatest(8, 0.02::DOUBLE*na) OR NOT mixed GROUP BY image_id, label, np",
+        f"f1 AS (SELECT p.*, ({_MIXED}) AS mixed FROM px p WHERE a >= 128)",
+        "f2 AS (SELECT *, sum((NOT mixed)::INT) OVER (PARTITION BY image_id, label) AS np, count(*) OVER (PARTITION BY image_id, label) AS na FROM f1)",
+    ),
+    "shift_colors": q(
+        f"SELECT {b('image_id', 'idx')}, hex, printf('#%02x%02x%02x', {', '.join(_SRGB.format(m) for m in ('cr', 'cg', 'cb'))}) AS shifted FROM s5",
+        _TABLE,
+        lab("tb", "tl"),
+        "s1 AS (SELECT image_id, idx, hex, la, lb, CASE WHEN l - 5 BETWEEN 0 AND 100 THEN l - 5 ELSE l + 5 END AS nl FROM tl)",
+        "s2 AS (SELECT *, (nl+16)/116 AS fy, la/500 + (nl+16)/116 AS fx, greatest(0, (nl+16)/116 - lb/200) AS fz FROM s1)",
+        "s3 AS (SELECT *, " + ", ".join(f"{w}::DOUBLE * CASE WHEN {f} > 0.2068966 THEN {f}*{f}*{f} ELSE ({f} - 16.0::DOUBLE/116)/7.787::DOUBLE END AS {n}" for w, f, n in (("0.95047", "fx", "xx"), ("1.0", "fy", "yy"), ("1.08883", "fz", "zz"))) + " FROM s2)",
+        "s4 AS (SELECT *, 3.24048134::DOUBLE*xx - 1.53715152::DOUBLE*yy - 0.49853633::DOUBLE*zz AS cr, -0.96925495::DOUBLE*xx + 1.87599::DOUBLE*yy + 0.04155593::DOUBLE*zz AS cg, 0.05564664::DOUBLE*xx - 0.20404134::DOUBLE*yy + 1.05731107::DOUBLE*zz AS cb FROM s3)",
+        "s5 AS (SELECT * FROM s4)",
+    ),
+    "drop_largest_layer": q(
+        f"SELECT {b('p.image_id', 'p.label', 'p.path_no')} FROM paths p ANTI JOIN (SELECT image_id, label FROM big_ WHERE k = 1) g ON g.image_id = p.image_id AND g.label = p.label",
+        _PATHS,
+        _BG,
+        "big_ AS (SELECT z.image_id, z.label, row_number() OVER (PARTITION BY z.image_id ORDER BY coalesce(bg.label <> z.label, true) DESC, z.s DESC, z.label) AS k FROM (SELECT image_id, label, sum(length(d)) AS s FROM paths GROUP BY ALL) z LEFT JOIN bg USING (image_id))",
+    ),
+    "ground_truth_widths": """WITH w AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 9)::DOUBLE WHEN event_id % 4 <> 0 THEN (event_id % 7 + event_id % 11 + event_id % 5 - greatest(event_id % 7, event_id % 11, event_id % 5) - least(event_id % 7, event_id % 11, event_id % 5))::DOUBLE END AS want, (event_id % 10)::DOUBLE AS got FROM events)
+SELECT event_id, coalesce(want, -1) AS want, coalesce(abs(got - want) <= greatest(1, 0.25::DOUBLE*want), false) AS fits FROM w""",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweir.functions import color, text
-from pixelweir.operators import documents, grid, jobs, palette, quality, regions
+from pixelweir.operators import documents, grid, ink, jobs, palette, quality, regions
 from pixelweir.oracles import ORACLES  # noqa: F401
 from pixelweir.plans import convert
 from pixelweir.sources import raster
@@ -658,3 +658,53 @@ def traced_layers(px: DataFrame) -> DataFrame:
 @on_raster
 def converted_documents(px: DataFrame) -> DataFrame:
     return big(convert.convert(px, W, H).select("image_id", "n_layers", "n_nodes", F.length("svg").alias("svg_size"), F.length("eps").alias("eps_size")))
+
+
+@on_raster
+def otsu_threshold(px: DataFrame) -> DataFrame:
+    return big(ink.otsu(px.select("image_id", color.luma(*rgb()).cast("int").alias("v"))))
+
+
+@on_raster
+def line_art_stroke_mask(px: DataFrame) -> DataFrame:
+    return big(ink.line_art_mask(px).filter("ink").select("image_id", "y", "x"))
+
+
+@on_raster
+def ink_color(px: DataFrame) -> DataFrame:
+    return big(ink.ink_color(px))
+
+
+@on_raster
+def mixed_stroke_mask(px: DataFrame) -> DataFrame:
+    return big(ink.mixed_mask(px).filter("ink").select("image_id", "y", "x"))
+
+
+@on_raster
+def gradient_ramps(px: DataFrame) -> DataFrame:
+    return big(ink.ramp_share(px, 5), "ramp")
+
+
+@on_raster
+def final_colors(px: DataFrame) -> DataFrame:
+    return big(ink.pure_colors(px))
+
+
+@on_raster
+def shift_colors(px: DataFrame) -> DataFrame:
+    return big(ink.shift_lightness(table_of(px)).select("image_id", "idx", "hex", "shifted"))
+
+
+@on_raster
+def drop_largest_layer(px: DataFrame) -> DataFrame:
+    return big(ink.drop_largest(regions.rect_layers(regions.rectangles(px), 10), background(px)).select("image_id", "label", "path_no"))
+
+
+@query
+def ground_truth_widths(spark: SparkSession, sf: str) -> DataFrame:
+    """Stated or listed stroke widths from events, and whether a measured one fits."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    listed = F.when(F.col("event_id") % 4 != 0, F.create_map(F.lit("a"), (F.col("event_id") % 7).cast("double"), F.lit("b"), (F.col("event_id") % 11).cast("double"), F.lit("c"), (F.col("event_id") % 5).cast("double"))).otherwise(F.create_map().cast("map<string,double>"))
+    want = ink.expected_width(F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 9), listed)
+    w = e.select("event_id", want.alias("want"), (F.col("event_id") % 10).cast("double").alias("got"))
+    return big(w.select("event_id", F.coalesce("want", F.lit(-1.0)).alias("want"), F.coalesce(ink.width_matches(F.col("got"), F.col("want")), F.lit(False)).alias("fits")), "want")
