@@ -19,12 +19,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from pixelweir.llm.common import bound_batches, read, slices
+from pixelweir.llm.common import bound_batches, read, slices, tidy
 
 #: Pre-tokens of a worker's younger memory; at that many, it becomes the older one, and the older one goes. It bounds memory and decides nothing else.
-MEMORY = 450_000
+MEMORY = 250_000
 #: Distinct pre-tokens that one index covers: its lists then stay in the processor's cache.
 BLOCK = 1000
 
@@ -145,8 +145,8 @@ class MergeReplay:
 class Encoder:
     """Texts to ids and back, with a bounded memory of pre-tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.replay, self.split = MergeReplay(ranks), regex.compile(pattern).findall
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: int = MEMORY):
+        self.replay, self.split, self.memory = MergeReplay(ranks), regex.compile(pattern).findall, memory
         self.listed: dict[str, str] = {}  # pre-token -> its ids, comma-joined
         self.plain: dict[str, bytes] = {}  # pre-token -> its ids, decoded
         self.older: tuple[dict[str, str], dict[str, bytes]] = {}, {}
@@ -154,7 +154,7 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         """Encodes those of the words that aren't known yet, together."""
         new = [w for w in words if w not in self.listed]
-        if len(self.listed) + len(new) > MEMORY:
+        if len(self.listed) + len(new) > self.memory:
             self.older = self.listed, self.plain
             self.listed, self.plain = {}, {}
             new = list(words)
@@ -180,13 +180,13 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(raw: bytes, pattern: str) -> Encoder:
+def encoder(raw: bytes, pattern: str, memory: int = MEMORY) -> Encoder:
     """The worker's encoder for a vocabulary, kept over tasks."""
-    key = (hashlib.sha256(raw).digest(), pattern)
+    key = (hashlib.sha256(raw).digest(), pattern, memory)
     if key not in _ENCODERS:
         _ENCODERS.clear()
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
-        _ENCODERS[key] = Encoder(ranks, pattern)
+        _ENCODERS[key] = Encoder(ranks, pattern, memory)
     return _ENCODERS[key]
 
 
@@ -203,44 +203,41 @@ def shared_vocabulary(spark: SparkSession, path: str | None, pattern: str | None
         return spark.sparkContext.broadcast(f.read()), pattern or standard
 
 
-def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Adds ids (array<int>), n_tokens, ids_sha256 and decoded (the bytes the ids stand for) and its decoded_sha256.
+def encode_decode(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", keep: tuple[str, ...] = ("ids", "decoded"), memory: int = MEMORY) -> DataFrame:
+    """Adds n_tokens, ids_sha256, decoded_sha256, and of ids (array<int>) and decoded (the bytes that they stand for) those in keep.
 
-    Only the digest columns are made if keep_ids is false. All columns of docs stay, but for those it makes.
+    All columns of docs stay, but for those that it makes. `memory` bounds the pre-tokens that a worker remembers.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     raw, pat = shared_vocabulary(spark, path, pattern)
     made = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-    kept = [c for c in docs.columns if c not in made]
-    source = docs.select(*kept) if text in kept else docs
+    source = docs.select(*[c for c in docs.columns if c not in made])
+    kinds = {"ids": (pa.list_(pa.int32()), ArrayType(IntegerType())), "decoded": (pa.binary(), BinaryType())}
     out = StructType(list(source.schema.fields)).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if keep_ids:
-        out = out.add("ids", ArrayType(IntegerType())).add("decoded", "binary")
+    for name in keep:
+        out = out.add(name, kinds[name][1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(raw.value, pat)
+        enc = encoder(raw.value, pat, memory)
         sha = hashlib.sha256
         for whole in batches:
-            for batch in slices(whole, text, 8 << 20):
-                counts, digests, decoded, all_ids, all_bytes = [], [], [], [], []
+            for batch in slices(whole, text, 2 << 20):
+                counts, digests, decoded, kept = [], [], [], {name: [] for name in keep}
                 for ids, plain in enc.encode(batch.column(text).to_pylist()):
                     counts.append(ids.count(",") + 1 if ids else 0)
                     digests.append(sha(ids.encode()).hexdigest())
                     decoded.append(sha(plain).hexdigest())
-                    if keep_ids:
-                        all_ids.append(np.fromstring(ids, np.int32, sep=","))
-                        all_bytes.append(plain)
-                columns = [*batch.columns, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-                names = [*batch.schema.names, "n_tokens", "ids_sha256", "decoded_sha256"]
-                if keep_ids:
-                    columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_bytes, pa.binary())]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    if "ids" in kept:
+                        kept["ids"].append(np.fromstring(ids, np.int32, sep=","))
+                    if "decoded" in kept:
+                        kept["decoded"].append(plain)
+                columns = [*batch.columns, pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), *[pa.array(v, kinds[n][0]) for n, v in kept.items()]]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "n_tokens", "ids_sha256", "decoded_sha256", *kept])
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(tidy(run), out)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_decode(docs, keep_ids=False).select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_decode(docs, keep=()).select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside joins; BIGINT's smallest value, turned back into null at the end.
 NULL_ID = -(2**63)
 #: Arrow batches handed to Python stay below these; long texts can't pile up in one batch.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +28,21 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidy(run: Callable) -> Callable:
+    """A function for mapInArrow that gives freed memory back at its end: workers live on, beside those of other stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder that the cluster names; a local folder only where none is set."""
     context = df.sparkSession.sparkContext

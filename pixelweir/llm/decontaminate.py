@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import bound_batches, read, row_key, slices
+from pixelweir.llm.common import bound_batches, read, row_key, slices, tidy
 from pixelweir.llm.rolling import gram_hashes, word_hashes
 
 #: Words of a seed; an item's score over its own from which it counts as found.
 N, LEAST = 3, 0.6
+#: Bytes of texts that are hashed together.
+SLICE = 512 << 10
 #: Bytes of items in a block, which is broadcast.
 BLOCK = 16 << 20
 #: Alignment: a match adds 1, a changed word and a gap cost these.
@@ -204,7 +206,7 @@ def _against(source: DataFrame, block: Items, least: float, kind) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(shared.value.grams), np.int64)
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
+            for b in slices(whole, "text", SLICE):
                 words, number, _, _ = word_hashes([(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()])
                 at, gram = shared.value.hits(words, number)
                 pair = np.unique(number[at] * len(total) + gram) if len(at) else at
@@ -213,7 +215,7 @@ def _against(source: DataFrame, block: Items, least: float, kind) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["gram", "n"])
 
     counts = np.zeros(len(block.grams), np.int64)
-    for r in source.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # a row for each n-gram of the block at most
+    for r in source.select("text").mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # a row for each n-gram of the block at most
         counts[r.gram] = r.n
     seeds = spark.sparkContext.broadcast(block.seeds(counts))
     from pyspark.sql.pandas.types import to_arrow_type
@@ -223,7 +225,7 @@ def _against(source: DataFrame, block: Items, least: float, kind) -> DataFrame:
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = seeds.value
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
+            for b in slices(whole, "text", SLICE):
                 ids = b.column("doc_id").to_pylist()
                 found = list(_matches(items, [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()], least))
                 yield pa.RecordBatch.from_arrays(
@@ -231,7 +233,7 @@ def _against(source: DataFrame, block: Items, least: float, kind) -> DataFrame:
                     ["doc_id", "item_id", "score", "n_passages"],
                 )
 
-    return source.mapInArrow(match, f"doc_id long, item_id {kind.simpleString()}, score double, n_passages long")
+    return source.mapInArrow(tidy(match), f"doc_id long, item_id {kind.simpleString()}, score double, n_passages long")
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:

@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweir.llm import bpe
-from pixelweir.llm.common import NULL_ID, bound_batches, read, slices
+from pixelweir.llm.common import NULL_ID, bound_batches, read, slices, tidy
 
 #: Pre-tokens of a leaf at first; a leaf that outgrows it eightfold has the tree built anew.
 LEAF = 64
 #: Code points after a pre-token's end that its pattern may look at.
 LOOK = 2
-MEMORY = 1_000_000
+MEMORY = 500_000
 
 
 class Counter:
@@ -189,7 +189,7 @@ def count_edited(docs: DataFrame, edits: Column, path: str | None = None, patter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(bpe.encoder(raw.value, pat))
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 2 << 20):
                 rows = []
                 cut = [counter.split(t) if t else [] for t in b.column("text").to_pylist()]
                 counter.learn(set().union(*cut))
@@ -202,7 +202,7 @@ def count_edited(docs: DataFrame, edits: Column, path: str | None = None, patter
                     rows.append((d, before, tree.n_tokens, tree.n_chars, len(words), tree.recounted))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*rows, strict=True)) or [[]] * len(names))], names)
 
-    return source.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return source.mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
 
 
 def recount(docs: DataFrame, edits: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:

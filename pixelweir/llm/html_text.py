@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import bound_batches, durable, read, shuffles
+from pixelweir.llm.common import bound_batches, durable, read, shuffles, tidy
 
 #: Pages from which a text that never changes counts as wrapper.
 LEAST_PAGES = 3
@@ -354,8 +354,8 @@ def templates(pages: DataFrame) -> DataFrame:
         if template:
             yield _rows({host: template})
 
-    parts = pages.select("url", "html").mapInArrow(by_task, "host string, template string")
-    return parts.repartition(shuffles(pages.sparkSession), "host").sortWithinPartitions("host", "template").mapInArrow(by_host, "host string, template string")
+    parts = pages.select("url", "html").mapInArrow(tidy(by_task), "host string, template string")
+    return parts.repartition(shuffles(pages.sparkSession), "host").sortWithinPartitions("host", "template").mapInArrow(tidy(by_host), "host string, template string")
 
 
 def _rows(found: dict[str, list]) -> pa.RecordBatch:
@@ -389,7 +389,7 @@ def extract_text(pages: DataFrame, most_bytes: int = TEMPLATE_BYTES) -> DataFram
     if shared is None:
         name = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
         source = pages.withColumn("host", name).join(known, "host", "left").select("page_id", "url", "html", "template")
-    return source.mapInArrow(run, f"page_id {page_type}, url string, text string, n_chars long")
+    return source.mapInArrow(tidy(run), f"page_id {page_type}, url string, text string, n_chars long")
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

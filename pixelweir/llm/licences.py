@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import bound_batches, read, slices
+from pixelweir.llm.common import bound_batches, read, slices, tidy
 from pixelweir.llm.rolling import gram_hashes, word_hashes
 
 LEAST = 0.8
@@ -173,7 +173,7 @@ def scan(docs: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: st
                 )
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, licence string, score double, b long, e long")
+    return source.mapInArrow(tidy(run), "doc_id long, licence string, score double, b long, e long")
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import bound_batches, durable, read, row_key, slices
+from pixelweir.llm.common import bound_batches, durable, read, row_key, slices, tidy
 from pixelweir.llm.rolling import Prefixes, mix
 
 DEPTH, MIN_DOCS, LEAST = 2, 10, 0.6
+#: Bytes of texts that are hashed together.
+SLICE = 512 << 10
 #: Bits of the set of frequent leaves (as a power of two). More leaves only make more of them pass to the exact test.
 BITS = 22
 
@@ -78,14 +80,14 @@ def dropped_lines(keyed: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
+            for b in slices(whole, "text", SLICE):
                 x = Lines(_raw(b), depth)
                 order = np.lexsort((x.leaf, x.text))
                 new = np.r_[True, (x.leaf[order][1:] != x.leaf[order][:-1]) | (x.text[order][1:] != x.text[order][:-1])] if len(order) else np.zeros(0, bool)
                 leaf, n = np.unique(x.leaf[order][new], return_counts=True)  # once a document
                 yield pa.RecordBatch.from_arrays([pa.array(leaf.view(np.int64)), pa.array(n.astype(np.int64))], ["leaf", "n"])
 
-    frequent = durable(keyed.select("text").mapInArrow(leaves, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
+    frequent = durable(keyed.select("text").mapInArrow(tidy(leaves), "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf"))
     masks = frequent.selectExpr(f"pmod(leaf, {1 << BITS}) AS bit").groupBy(F.expr("int(bit div 32)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, int(bit % 32)))").alias("m"))
     bits = np.zeros(1 << BITS, bool)
     for r in masks.collect():  # 2^BITS / 32 rows at most
@@ -95,7 +97,7 @@ def dropped_lines(keyed: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = np.unpackbits(shared.value).astype(bool)
         for whole in batches:
-            for b in slices(whole, "text", 2 << 20):
+            for b in slices(whole, "text", SLICE):
                 x = Lines(_raw(b), depth)
                 d, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_h"))
                 some = np.flatnonzero(maybe[(x.leaf & np.uint64((1 << BITS) - 1)).astype(np.int64)])
@@ -110,7 +112,7 @@ def dropped_lines(keyed: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS
                     ["leaf", "m", "_d", "_h", "line", "size", "keys"],
                 )
 
-    found = durable(keyed.select("_d", "_h", "text").mapInArrow(lines, "leaf long, m long, _d long, _h long, line int, size int, keys array<long>").join(frequent, "leaf"))
+    found = durable(keyed.select("_d", "_h", "text").mapInArrow(tidy(lines), "leaf long, m long, _d long, _h long, line int, size int, keys array<long>").join(frequent, "leaf"))
     kinds = durable(found.groupBy("m").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     tokens = kinds.select("m", "n", F.explode("keys").alias("key"))
     constant = durable(tokens.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("key"))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import NULL_ID, bound_batches, durable, read, row_key, shuffles
+from pixelweir.llm.common import NULL_ID, bound_batches, durable, read, row_key, shuffles, tidy
 
 #: Generator polynomial of the (23,12) Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1. A fixed value.
 GOLAY = 0b110001110101
@@ -169,7 +169,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(_signed(prints))], ["doc_id", "h", "fp"])
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, h long, fp long")
+    return source.mapInArrow(tidy(run), "doc_id long, h long, fp long")
 
 
 def links(prints: DataFrame, most: int = 3) -> DataFrame:
@@ -187,8 +187,8 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
 
         return run
 
-    rows = prints.select("fp").mapInArrow(keyed(False), "key int, fp long, is_index boolean")
-    hot = durable(prints.select("fp").mapInArrow(keyed(True), "key int, fp long, is_index boolean").groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    rows = prints.select("fp").mapInArrow(tidy(keyed(False)), "key int, fp long, is_index boolean")
+    hot = durable(prints.select("fp").mapInArrow(tidy(keyed(True)), "key int, fp long, is_index boolean").groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     n_hot = hot.count()
     if n_hot:
         rows = rows.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left")
@@ -226,7 +226,7 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
             yield flush(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     dealt = rows.repartition(shuffles(spark), "key", "block").sortWithinPartitions("key", "block")
-    return dealt.mapInArrow(group, "a long, b long")
+    return dealt.mapInArrow(tidy(group), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import NULL_ID, bound_batches, durable, read, row_key, shuffles
+from pixelweir.llm.common import NULL_ID, bound_batches, durable, read, row_key, shuffles, tidy
 from pixelweir.llm.rolling import Prefixes, mix
 
 LENGTH = 200
@@ -133,7 +133,7 @@ def _runs(sources: DataFrame, length: int, gram: int) -> DataFrame:
         for b in batches:
             yield from _run_batch(_bytes(b), *_numbers(b, "_d", "_h", "_b", "lone"), length, gram)
 
-    return sources.mapInArrow(run, _RUN_SCHEMA)
+    return sources.mapInArrow(tidy(run), _RUN_SCHEMA)
 
 
 def _bytes(b: pa.RecordBatch) -> list[bytes]:
@@ -298,7 +298,7 @@ def _pieces(sources: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield batch(rows)
 
     found = sources.select("_d", "_h", "_b", "text").join(per_text, ["_d", "_h", "_b"]).select("_d", "_h", "_b", "text", "wanted")
-    return found.mapInArrow(cut, "a long, hot boolean, lone boolean, _d long, _h long, s long, o int, piece binary")
+    return found.mapInArrow(tidy(cut), "a long, hot boolean, lone boolean, _d long, _h long, s long, o int, piece binary")
 
 
 def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
@@ -329,7 +329,7 @@ def _sorted_spans(pieces: DataFrame, length: int) -> DataFrame:
         yield flush(held)
 
     dealt = pieces.repartition(shuffles(pieces.sparkSession), "a").sortWithinPartitions("a", "_d", "_h", "s")
-    return dealt.mapInArrow(sort, _SPAN_SCHEMA)
+    return dealt.mapInArrow(tidy(sort), _SPAN_SCHEMA)
 
 
 def merge_spans(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -363,7 +363,7 @@ def remove_duplicates(docs: DataFrame, length: int = LENGTH, grams: tuple[int, .
             yield pa.RecordBatch.from_pylist(rows, out)
 
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("spans", pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))), ("kept", pa.binary())] * keep_bytes)
-    return keyed.join(per_text, ["_d", "_h", "_b"], "left").select("_d", "text", "spans").mapInArrow(run, schema)
+    return keyed.join(per_text, ["_d", "_h", "_b"], "left").select("_d", "text", "spans").mapInArrow(tidy(run), schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

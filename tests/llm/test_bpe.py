@@ -42,12 +42,11 @@ def test_lower_rank_after_a_merge_goes_first():
     assert bpe.MergeReplay(ranks).encode([w.encode() for w in words]) == [enc.encode_ordinary(w) for w in words]
 
 
-def test_table(spark, vocabulary, monkeypatch):
+def test_table(spark, vocabulary):
     path, _, enc = vocabulary
-    monkeypatch.setattr(bpe, "MEMORY", 50)
     rows = [(i, t, "y") for i, t in enumerate([None, *texts(), "twice", "twice"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
-    got = {r.doc_id: r for r in bpe.encode_decode(docs, path).collect()}
+    got = {r.doc_id: r for r in bpe.encode_decode(docs, path, memory=50).collect()}
     for i, t, _ in rows:
         ids = enc.encode_ordinary(t or "")
         assert list(got[i].ids) == ids and got[i].n_tokens == len(ids)
