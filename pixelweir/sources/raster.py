@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the derived raster: its size, and six colours.
@@ -86,18 +86,26 @@ def colour_of(label: Column) -> tuple[Column, Column, Column]:
     return r, g, b
 
 
+def by_image(df: DataFrame) -> DataFrame:
+    """Deals rows by image_id, and lets joins on image_id and more use that: an image is small, and there are many."""
+    df.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return df.repartition("image_id")
+
+
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, y, x, label, r, g, b, a): 500 events make an image of flat 5 x 5 regions, with noise where an event is an error.
 
-    A region's anchor is its first event. Anchors are a 25th of all rows; they meet theirs in one equi-join.
+    Rows are dealt by image once. Windows and groups by image and anything else then need no further exchange, and with
+    `by_image` neither do joins.
     """
     size, row = WIDTH * HEIGHT, WIDTH
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(
         F.expr(f"event_id div {size}").alias("image_id"), F.expr(f"int((event_id % {size}) div {row})").alias("y"), F.expr(f"int(event_id % {row})").alias("x"), "user_id", "event_type"
     )
-    cell = [F.expr(f"y div {BLOCK}").cast("int").alias("by"), F.expr(f"x div {BLOCK}").cast("int").alias("bx")]
-    anchors = ev.filter(f"y % {BLOCK} = 0 AND x % {BLOCK} = 0").select("image_id", *cell, (F.col("user_id") % len(PALETTE)).cast("int").alias("label"), F.when(F.col("event_type") == "signup", 0).otherwise(255).alias("a"))
-    px = ev.select("image_id", "y", "x", "event_type", *cell).join(anchors, ["image_id", "by", "bx"])
+    cell = Window.partitionBy("image_id", F.expr(f"y div {BLOCK}"), F.expr(f"x div {BLOCK}"))
+    anchor = (F.col("y") % BLOCK == 0) & (F.col("x") % BLOCK == 0)  # a region's first event; regions without one are left out
+    first = lambda c: F.max(F.when(anchor, c)).over(cell)
+    px = by_image(ev).select("image_id", "y", "x", "event_type", first((F.col("user_id") % len(PALETTE)).cast("int")).alias("label"), first(F.when(F.col("event_type") == "signup", 0).otherwise(255)).alias("a")).filter("label IS NOT NULL")
     own, after = colour_of(F.col("label")), colour_of((F.col("label") + 1) % len(PALETTE))
     noisy = F.col("event_type") == "error"
     return px.select("image_id", "y", "x", "label", *[F.when(noisy, F.floor((c + n) / 2).cast("int")).otherwise(c).alias(k) for k, c, n in zip("rgb", own, after, strict=True)], "a")
