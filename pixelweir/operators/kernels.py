@@ -446,3 +446,63 @@ def grow_centers(points: np.ndarray, weights: np.ndarray, cap: int, tolerance: f
         if len(centers) >= min(cap, len(points)) or weights[far].sum() <= least:
             return centers
         centers = kmeans(points, weights, np.vstack([centers, points[int(np.where(far, weights, -1.0).argmax())]]))
+
+
+def near_seed(seeds: np.ndarray, reach: float) -> np.ndarray:
+    """Pixels within reach of a seed."""
+    if not seeds.any():
+        return seeds.copy()
+    y, x = nearest_seed(seeds)
+    gy, gx = np.mgrid[: seeds.shape[0], : seeds.shape[1]]
+    return np.hypot(gy - y, gx - x) <= reach
+
+
+def remove_wide(mask: np.ndarray, most_width: float) -> np.ndarray:
+    """The mask without the parts that are wider than most_width."""
+    deep = distance_to_edge(mask) > most_width / 2
+    return mask & ~near_seed(deep, math.ceil(most_width / 2) + 1)
+
+
+def remove_specks(mask: np.ndarray, least_area: int) -> np.ndarray:
+    """The mask without eight-connected parts under least_area."""
+    ids = label_components(mask.astype(np.int64), diagonal=True)
+    return mask & (np.bincount(ids.ravel(), minlength=mask.size)[ids] >= least_area)
+
+
+def bridge_gaps(mask: np.ndarray, skeleton: np.ndarray, gap: float) -> tuple[np.ndarray, int]:
+    """Joins line ends to the nearest other part of the mask within gap by a straight line of pixels; parts that are joined already aren't joined again. Ends go in raster order."""
+    out, ids = mask.copy(), label_components(mask.astype(np.int64), diagonal=True)
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        while up.setdefault(i, i) != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    ys, xs = np.nonzero(mask)
+    own = ids[ys, xs]
+    n = 0
+    for y, x in zip(*(v.tolist() for v in np.nonzero(skeleton)), strict=True):
+        if len(_around(skeleton, y, x)) != 1:
+            continue
+        d = np.hypot(ys - y, xs - x)
+        close = np.flatnonzero(d <= gap + 1)
+        close = close[np.argsort(d[close], kind="stable")]
+        mine = root(int(ids[y, x]))
+        k = next((k for k in close.tolist() if root(int(own[k])) != mine), None)
+        if k is not None:
+            steps = int(max(abs(ys[k] - y), abs(xs[k] - x))) + 1
+            out[np.rint(np.linspace(y, ys[k], steps)).astype(int), np.rint(np.linspace(x, xs[k], steps)).astype(int)] = True
+            up[root(int(own[k]))] = mine
+            n += 1
+    return out, n
+
+
+def stacked(order: np.ndarray, z: int, reach: int = 1) -> np.ndarray:
+    """The mask of layer z in a map of paint orders (-1: transparent), grown by reach under the layers above it, so that no gap shows between them."""
+    own = order == z
+    grown = own.copy()
+    for _ in range(reach):
+        grown |= np.any([_neighbours(grown, dy, dx, False) for dy, dx in EIGHT], axis=0) & (order > z)
+    return grown

@@ -408,4 +408,8 @@ round(greatest(0.5::DOUBLE, round_even((event_id % 97)/7.0::DOUBLE/2.0::DOUBLE/0
     ),
     "ground_truth_widths": """WITH w AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN (event_id % 9)::DOUBLE WHEN event_id % 4 <> 0 THEN (event_id % 7 + event_id % 11 + event_id % 5 - greatest(event_id % 7, event_id % 11, event_id % 5) - least(event_id % 7, event_id % 11, event_id % 5))::DOUBLE END AS want, (event_id % 10)::DOUBLE AS got FROM events)
 SELECT event_id, coalesce(want, -1) AS want, coalesce(abs(got - want) <= greatest(1, 0.25::DOUBLE*want), false) AS fits FROM w""",
+    "upload_checks": """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG' ELSE 'none' END AS format, CASE doc_id % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'image/jpeg' ELSE 'none' END AS media_type,
+CASE WHEN doc_id % 4 > 1 THEN 'unsupported_media_type' WHEN n_chars::BIGINT * 10000 > 36000000 THEN 'too_many_pixels' ELSE 'ok' END AS error FROM documents""",
+    "upload_names": """WITH n AS (SELECT page_id, coalesce(nullif(left(trim(regexp_extract(url, '[^/]*$')), 200), ''), 'upload') AS name FROM pages)
+SELECT page_id, name, regexp_replace(name, '\\.[^.]*$', '') || '.svg' AS svg, regexp_replace(name, '\\.[^.]*$', '') || '_preview.png' AS preview, '/jobs/' || page_id || '/files/eps' AS link FROM n""",
 }

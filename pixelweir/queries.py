@@ -708,3 +708,22 @@ def ground_truth_widths(spark: SparkSession, sf: str) -> DataFrame:
     want = ink.expected_width(F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 9), listed)
     w = e.select("event_id", want.alias("want"), (F.col("event_id") % 10).cast("double").alias("got"))
     return big(w.select("event_id", F.coalesce("want", F.lit(-1.0)).alias("want"), F.coalesce(ink.width_matches(F.col("got"), F.col("want")), F.lit(False)).alias("fits")), "want")
+
+
+@query
+def upload_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Files by their first bytes alone: format, media type, and the error that an upload gets."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    k = F.col("doc_id") % 4
+    content = F.when(k == 0, F.concat(F.unhex(F.lit(raster.PNG_MAGIC)), F.encode("text", "UTF-8"))).when(k == 1, F.concat(F.unhex(F.lit(raster.JPEG_MAGIC)), F.encode("text", "UTF-8"))).otherwise(F.encode("text", "UTF-8"))
+    c = d.select("doc_id", content.alias("content"), (F.col("n_chars").cast("long") * 10_000).alias("pixels"))
+    kind = raster.sniff_format(F.col("content"))
+    error = F.when(kind.isNull(), "unsupported_media_type").when(F.col("pixels") > raster.MAX_PIXELS, "too_many_pixels")
+    return big(c.select("doc_id", F.coalesce(kind, F.lit("none")).alias("format"), F.coalesce(raster.media_type(F.col("content")), F.lit("none")).alias("media_type"), F.coalesce(error, F.lit("ok")).alias("error")))
+
+
+@query
+def upload_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Safe names of pages' addresses, and what their files would be downloaded and linked as."""
+    p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", text.safe_filename(F.col("url")).alias("name"))
+    return big(p.select("page_id", "name", text.download_name(F.col("name"), F.lit("svg")).alias("svg"), text.download_name(F.col("name"), F.lit("preview")).alias("preview"), text.file_url(F.col("page_id").cast("string"), F.lit("eps")).alias("link")))
