@@ -263,7 +263,8 @@ def _level(sources: DataFrame, length: int, grams: tuple[int, ...], hot: int) ->
     kinds = runs.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_h", "_b", "p", "lone")).alias("r"))
     several = durable(kinds.groupBy("a").agg(F.count("*").alias("m")).filter("m > 1"))
     begin, more = F.shiftright("p", 2 * _SHIFT), F.shiftright("p", _SHIFT).bitwiseAND((1 << _SHIFT) - 1)
-    equal = runs.filter("lone").join(kinds.filter("n > 1").select("a", "c"), ["a", "c"]).select("_d", "_h", begin.cast("int").alias("b"), (begin + more + length).cast("int").alias("e"))
+    # as a table of its own, so that Spark may split a kind with very many runs
+    equal = runs.filter("lone").join(durable(kinds.filter("n > 1").select("a", "c")), ["a", "c"]).select("_d", "_h", begin.cast("int").alias("b"), (begin + more + length).cast("int").alias("e"))
     wanted = kinds.join(several, "a").select("a", (F.col("m") > hot).alias("hot"), F.expr("n = 1 and r.lone").alias("lone"), "r._d", "r._h", "r._b", "r.p")
     pieces = _pieces(sources, wanted, length)
     if len(grams) == 1 or not several.filter(F.col("m") > hot).limit(1).count():
