@@ -1,4 +1,4 @@
-"""A corpus pipeline of five stages: documents in, token ids out.
+"""A corpus pipeline of six stages: documents in, token ids out.
 
 Each stage takes all that the one before kept and is written as Parquet in the shared folder before the next reads it.
 """
@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm import bpe, decontaminate, line_templates, quality, simhash
+from pixelweir.llm import bpe, decontaminate, line_templates, quality, simhash, word_sets
 from pixelweir.llm.common import read
 from pixelweir.llm.native import SPACES
 
@@ -33,6 +33,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs)
 
 
+def word_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of texts whose 5-word Jaccard similarity is 0.8 or more."""
+    return word_sets.keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no `benchmark` item, whole or edited."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
@@ -47,6 +52,7 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
+    ("word_dedup", word_dedup),
     ("decontamination", decontamination),
     ("tokens", tokens),
 ]
