@@ -6,11 +6,14 @@ in MIN_DOCS documents' lines of the leaf, and else a variable field; a line whos
 of all makes a template: its constants in place, all else generalised. Lines of templates that recur in MIN_DOCS
 documents are dropped, from all of them, or from all but one (`keep_first`).
 
+Lines of LONG tokens or more need no template: where equal ones (digits and all) stand in two documents, the first
+document keeps them and the others lose them.
+
 Equal lines are merged before tokens are counted, so a line in a third of all documents is one row there. Whether a
 leaf is frequent is first asked of a bit set of fixed size, then of the exact counts.
 
 Results: null and empty texts keep what they are; lines without tokens are never dropped. Repeated rows count as one
-document each and lose the same lines (with keep_first, both rows of the first document keep them). Other columns stay.
+document each and lose the same lines (both rows of the document that keeps a line keep it). Other columns stay.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from pixelweir.llm.common import bound_batches, durable, read, row_key, slices,
 from pixelweir.llm.rolling import Prefixes, mix
 
 DEPTH, MIN_DOCS, LEAST = 2, 10, 0.6
+#: Tokens from which a line that stands in two documents is a copy and no coincidence.
+LONG = 50
 #: Bytes of texts that are hashed together.
 SLICE = 512 << 10
 #: Bits of the set of frequent leaves (as a power of two). More leaves only make more of them pass to the exact test.
@@ -54,7 +59,8 @@ class Lines:
         line = breaks[starts] - before[text] if len(starts) else starts
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
         self.variable = digits[ends] > digits[starts]
-        token = np.where(self.variable, _VARIABLE, mix(Prefixes(data).hashes(starts, ends - starts)))
+        own = mix(Prefixes(data).hashes(starts, ends - starts))
+        token = np.where(self.variable, _VARIABLE, own)
         first = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (line[1:] != line[:-1])]) if len(starts) else starts
         self.first, self.text, self.line = first, text[first], line[first]
         self.size = np.diff(np.r_[first, len(starts)])
@@ -67,6 +73,8 @@ class Lines:
         self.leaf = leaf
         self.keys = mix(placed ^ np.repeat(leaf, self.size))
         self.hash = mix(np.add.reduceat(mix(placed), first) ^ leaf) if len(first) else leaf
+        exact = mix(own + mix(place.astype(np.uint64)))
+        self.exact = mix(np.add.reduceat(exact, first) ^ self.size.astype(np.uint64)) if len(first) else leaf
 
 
 def _raw(b: pa.RecordBatch) -> list[bytes]:
@@ -124,7 +132,24 @@ def dropped_lines(keyed: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS
     out = placed.join(durable(recurring), "t")
     if keep_first:
         out = out.filter(F.struct("_d", "_h") != F.col("first"))
-    return out.select("_d", "_h", "line")
+    return out.select("_d", "_h", "line").union(repeated_lines(keyed))
+
+
+def repeated_lines(keyed: DataFrame) -> DataFrame:
+    """(_d, _h, line): the long lines that stand in an earlier document too."""
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, "text", SLICE):
+                x = Lines(_raw(b), 0)
+                d, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_h"))
+                some = np.flatnonzero(x.size >= LONG)
+                yield pa.RecordBatch.from_arrays([pa.array(x.exact[some].view(np.int64)), pa.array(d[x.text[some]]), pa.array(h[x.text[some]]), pa.array(x.line[some].astype(np.int32))], ["x", "_d", "_h", "line"])
+
+    found = durable(keyed.select("_d", "_h", "text").mapInArrow(tidy(lines), "x long, _d long, _h long, line int"))
+    place = F.struct("_d", "_h")
+    twice = durable(found.groupBy("x").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("x", "first"))
+    return found.join(twice, "x").filter(place != F.col("first")).select("_d", "_h", "line")
 
 
 def without_lines(texts: pd.Series, lines: pd.Series) -> pd.Series:
