@@ -5,7 +5,8 @@ The trees of a host are aligned by simple tree matching (the largest order-prese
 and classes) and merged into a template, in each task first and then by host. A template node whose text never changes
 over the host's pages is the wrapper; nodes whose text varies are slots for content. A page is then aligned with its
 host's template: wrapper text goes, and so do parts that say themselves that they are menus, adverts, comments and the
-like. Inside an <article> or <main> only the latter is done: what an author repeats there is still content.
+like. Inside an <article> or <main> a wrapper part is a whole container (PARTS) none of whose texts change on the host,
+beside slots that vary; single headings, cells, items and inline words that an author repeats there are still content.
 
 The templates are broadcast if they are small enough (TEMPLATE_BYTES), else joined by host.
 
@@ -39,6 +40,8 @@ BLOCKS = frozenset(
 )
 #: Tags that are never main text.
 OUT = frozenset("aside audio button canvas dialog footer form head iframe map math menu nav noembed noframes noscript object option script search select style svg template textarea title video".split())
+#: Tags that a wrapper part inside an <article> or <main> begins with.
+PARTS = frozenset("address blockquote center details div dl fieldset figure ol p section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in classes and ids of parts that are never main text.
 NAMES = re.compile(
@@ -58,7 +61,7 @@ _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*
 
 
 class Node:
-    __slots__ = ("tag", "key", "out", "main", "parts", "wrapper")
+    __slots__ = ("tag", "key", "out", "main", "parts", "wrapper", "fixed")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag = tag
@@ -74,7 +77,7 @@ class Node:
         )
         self.main = not self.out and (tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody")
         self.parts: list[Node | str] = []
-        self.wrapper = False
+        self.wrapper = self.fixed = False
 
 
 def parse(page: str) -> Node:
@@ -240,11 +243,27 @@ def mark_wrapper(template: list, root: Shape) -> None:
 
     if not varies(template):
         return
-    for t, s in match(template, root)[1]:
+    pairs = match(template, root)[1]
+    for t, s in pairs:
         if t[1] >= LEAST_PAGES and t[2] not in (0, -1) and s.text_hash() == t[2]:
             for x in s.nodes:
                 x.wrapper = True
 
+    def same(t: list, s: Shape) -> bool:
+        if t[2] == -1 or (t[2] and t[1] < LEAST_PAGES) or (s.text_hash() or 0) != t[2]:
+            return False
+        return all(id(c) in partner and same(partner[id(c)], c) for c in s.children)
+
+    def says(s: Shape) -> bool:
+        return s.text_hash() is not None or any(map(says, s.children))
+
+    partner = {id(s): t for t, s in pairs}
+    for t, s in pairs:
+        for c in s.children:
+            if c.nodes[0].tag in PARTS and id(c) in partner and says(c) and same(partner[id(c)], c) and varies(t):
+                for x in c.nodes:
+                    x.fixed = True
+
 
 def main_text(root: Node) -> str:
     """The main text's blocks: of the parts that say they are the article, else of all that is left."""
@@ -282,6 +301,8 @@ def main_text(root: Node) -> str:
                     blocks[-1].append(p)
             elif p.tag == "br":
                 blocks[-1].append(" ")
+            elif inside and p.fixed:
+                continue
             elif not inside and p.tag in ("ul", "ol", "div", "p", "table", "section") and _link_list(p):
                 continue
             else:
