@@ -20,6 +20,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -44,9 +45,13 @@ OUT = frozenset("aside audio button canvas dialog footer form head iframe map ma
 PARTS = frozenset("address blockquote center details div dl fieldset figure ol p section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in classes and ids of parts that are never main text.
-NAMES = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert|adverts|advertisement|advertising|banner|breadcrumbs?|byline|comments?|commentlist|consent|cookies?|copyright|disclaimer|disqus|footer|gdpr|hidden|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|overlay|pager|pagination|popup|promo|promoted|recommended|related|repl(?:y|ies)|respond|responses|rail|search|share|sharing|sidebar|signup|site-?header|page-?header|social|sponsor|sponsored|subscribe|toolbar|topbar|widgets?)(?:$|[^a-z])"
+NAMES = frozenset(
+    """ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr hidden legal login masthead menu modal nav navbar
+    navigation newsletter notice notices overlay pager pagination popup promo promoted recommended related reply replies respond responses rail search share sharing sidebar signup siteheader pageheader social sponsor sponsored
+    subscribe toolbar topbar widget widgets""".split()
 )
+#: Words that may stand beside those in a hyphenated name: 'ad-slot', 'post-comments', but not 'has-sidebar' or 'overflow-hidden'.
+BESIDE = frozenset("area bar block box bottom button buttons container form inner item items left link links list main page post posts right section site slot top unit wrap wrapper".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: A start tag that ends these open ones, up to the tag that holds them.
 ENDS = {
@@ -57,24 +62,42 @@ ENDS = {
 HOLDS_P = frozenset("article aside blockquote body button caption dd details dialog div fieldset figure footer form header li main nav object section table td th".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|(?P<text>[^<]+|<)", re.S)
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=][^\s>/=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_READ = frozenset("class id role hidden aria-hidden style itemprop".split())
+
+
+@lru_cache(10_000)
+def says_out(name: str) -> bool:
+    """Whether a whole class or id names a part that is never main text."""
+    pieces = [x for x in re.split(r"[^a-z]+", name) if x]
+    if "".join(pieces) in NAMES:
+        return True
+    return any(x in NAMES for x in pieces) and all(x in NAMES or x in BESIDE for x in pieces)
+
+
+def attributes(source: str) -> dict[str, str]:
+    """Those that are read here; of repeated ones the first counts, as in browsers."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(source):
+        name = name.lower()
+        if name in _READ:
+            out.setdefault(name, next((html.unescape(v) for v in values if v), ""))
+    return out
 
 
 class Node:
-    __slots__ = ("tag", "key", "out", "main", "parts", "wrapper", "fixed")
+    __slots__ = ("tag", "key", "out", "holds", "main", "parts", "wrapper", "fixed")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag = tag
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
         self.key = tag + "." + re.sub(r"[0-9]{2,}", "#", " ".join(sorted(names.split())))
-        self.out = bool(
-            tag in OUT
-            or (names.strip() and tag not in ("html", "body") and NAMES.search(names))
-            or attrs.get("role", "").lower() in ROLES
-            or "hidden" in attrs
-            or attrs.get("aria-hidden", "").lower() == "true"
-            or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I)
-        )
+        role = attrs.get("role", "").lower()
+        unseen = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I))
+        named = tag not in ("html", "body") and any(map(says_out, names.split()))
+        self.out = tag in OUT or named or role in ROLES or unseen
+        #: Whether only a name, a role or a form says so: it may still hold the article.
+        self.holds = self.out and not unseen and (tag not in OUT or tag == "form")
         self.main = not self.out and (tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody")
         self.parts: list[Node | str] = []
         self.wrapper = self.fixed = False
@@ -104,7 +127,7 @@ def parse(page: str) -> Node:
                 if tag not in BLOCKS and stack[k].tag in BLOCKS:  # a stray inline end doesn't end blocks
                     break
             continue
-        attrs = {a.lower(): next((html.unescape(v) for v in (x, y, z) if v), "") for a, x, y, z in _ATTR.findall(m["attrs"])} if m["attrs"].strip(" /\n") else {}
+        attrs = attributes(m["attrs"]) if m["attrs"].strip(" /\n") else {}
         if tag == "html":
             continue
         if tag in ENDS:
@@ -267,19 +290,28 @@ def mark_wrapper(template: list, root: Shape) -> None:
 
 def main_text(root: Node) -> str:
     """The main text's blocks: of the parts that say they are the article, else of all that is left."""
-    mains: list[Node] = []
 
-    def seek(x: Node, tags: tuple[str, ...] | None) -> None:
+    def seek(x: Node, tags: tuple[str, ...] | None, through: bool = False) -> list[Node]:
+        found: list[Node] = []
         for p in x.parts:
-            if isinstance(p, Node) and not p.out:
-                if p.main and (tags is None or p.tag in tags):
-                    mains.append(p)
-                else:
-                    seek(p, tags)
-
-    for tags in (("article",), None):
-        if not mains:
-            seek(root, tags)
+            if isinstance(p, Node) and (not p.out or through and p.holds):
+                found += [p] if p.main and (tags is None or p.tag in tags) else seek(p, tags, through)
+        return found
+
+    if mains := seek(root, ("article",)):
+        return _text_of(mains, True)
+    mains = seek(root, None)
+    text = _text_of(mains or [root], bool(mains))
+    held = seek(root, ("article",), True) or (not mains and seek(root, None, True))
+    if held:  # the article stands in a part that says it is something else, unless these are teasers beside a longer text
+        inner = _text_of(held, True)
+        if len(inner.split()) > len(text.split()):
+            return inner
+    return text
+
+
+def _text_of(parts: list[Node], within: bool) -> str:
+    """The blocks of these parts; within: they say they are the article."""
     blocks: list[list[str]] = [[]]
 
     def walk(x: Node, inside: bool) -> None:
@@ -310,8 +342,8 @@ def main_text(root: Node) -> str:
         if block and blocks[-1]:
             blocks.append([])
 
-    for m in mains or [root]:
-        walk(m, bool(mains))
+    for m in parts:
+        walk(m, within)
     lines = [" ".join("".join(b).split()) for b in blocks]
     return "\n".join(x for x in lines if x)
 
