@@ -6,6 +6,10 @@ n - ceil(LEAST * n) + 1 of each, n being the set's own size. So those are the ke
 stand as 64-bit hashes), and candidates are verified on the whole sets. The order puts shingles that are frequent in a
 sample of documents last, which makes keys rare; the sample has no bearing on the result.
 
+Two exact bounds come before that: similar sets differ by no more than a fifth in size, and each shingle that only one of
+two sets has flips one bit of its parities, so parities that differ in more bits than the sets may differ in shingles
+rule a pair out.
+
 Equal sets are merged before. Members of a key are first compared with the smallest one, which joins groups of near
 copies without making all pairs; then all pairs of a key are compared that are not yet joined.
 
@@ -32,6 +36,8 @@ LEAST = (4, 5)
 #: Documents sampled for the order of shingles, and from how many of them a shingle counts as frequent.
 SAMPLE, FREQUENT = 20_000, 4
 SLICE = 512 << 10
+#: Parity bits of a set.
+BITS = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -64,12 +70,16 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    return np.packbits(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
+
+
 def _raw(b: pa.RecordBatch) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
 
 
 def sets_of(keyed: DataFrame) -> DataFrame:
-    """(_d, _h, s): the digest of each row's set; rows without a word are left out. keyed: _d, _h, text."""
+    """(_d, _h, s, n, p): digest, size and parities of each row's set; rows without a word are left out. keyed: _d, _h, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -78,9 +88,9 @@ def sets_of(keyed: DataFrame) -> DataFrame:
                 some = [i for i, x in enumerate(sets) if len(x)]
                 s = np.array([xxhash.xxh64_intdigest(sets[i].tobytes()) for i in some], np.uint64).view(np.int64)
                 at = pa.array(some, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("_d").take(at), b.column("_h").take(at), pa.array(s)], ["_d", "_h", "s"])
+                yield pa.RecordBatch.from_arrays([b.column("_d").take(at), b.column("_h").take(at), pa.array(s), pa.array([len(sets[i]) for i in some], pa.int32()), pa.array([parities(sets[i]) for i in some], pa.list_(pa.int64()))], ["_d", "_h", "s", "n", "p"])
 
-    return keyed.select("_d", "_h", "text").mapInArrow(tidy(run), "_d long, _h long, s long")
+    return keyed.select("_d", "_h", "text").mapInArrow(tidy(run), "_d long, _h long, s long, n int, p array<long>")
 
 
 def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +114,7 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_keys(texts: DataFrame) -> DataFrame:
-    """(key, s): the keys that two sets or more have, with these sets' digests. texts: s, text."""
+    """(key, s, n): the keys that two sets or more have, with these sets' digests and sizes. texts: s, n, text."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(frequent(texts))
 
@@ -121,27 +131,39 @@ def shared_keys(texts: DataFrame) -> DataFrame:
                     out.append(x[np.lexsort((x, often))[: n_keys(len(x))]])
                 sizes = [len(k) for k in out]
                 key = np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)
-                s = np.repeat(b.column("s").to_numpy(zero_copy_only=False), sizes)
+                s, n = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("s", "n"))
                 for i in range(0, len(key), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(s[i : i + (1 << 16)])], ["key", "s"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(s[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["key", "s", "n"])
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last row, if its key isn't known to recur
+        last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)  # the last row, if its key isn't known to recur
         open_key = None
         for b in batches:
-            key = np.concatenate([last[0], b.column("key").to_numpy(zero_copy_only=False)])
-            s = np.concatenate([last[1], b.column("s").to_numpy(zero_copy_only=False)])
+            key, s, n = (np.concatenate([x, b.column(c).to_numpy(zero_copy_only=False)]) for x, c in zip(last, ("key", "s", "n"), strict=True))
             if not len(key):
                 continue
             same = key[1:] == key[:-1]
             keep = np.r_[same, False] | np.r_[key[0] == open_key if open_key is not None else False, same]
             pending = not keep[-1]
             open_key = None if pending else key[-1]
-            last = (key[-1:], s[-1:]) if pending else (key[:0], s[:0])
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(s[keep])], ["key", "s"])
+            last = tuple(x[-1:] if pending else x[:0] for x in (key, s, n))
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(s[keep]), pa.array(n[keep])], ["key", "s", "n"])
+
+    rows = texts.select("s", "n", "text").mapInArrow(tidy(keys), "key long, s long, n int")
+    return rows.repartition(shuffles(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(repeated), "key long, s long, n int")
+
+
+def sized(a: str, b: str):
+    return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
+
 
-    rows = texts.select("s", "text").mapInArrow(tidy(keys), "key long, s long")
-    return rows.repartition(shuffles(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(repeated), "key long, s long")
+def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b): the pairs that sizes and parities don't rule out."""
+    for c in "ab":
+        pairs = pairs.join(sketches.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}")), c)
+    apart = F.expr("aggregate(zip_with(pa, pb, (x, y) -> bit_count(x ^ y)), 0, (t, v) -> t + v)")
+    # |A - B| + |B - A| = |A| + |B| - 2 |A and B|, and the last is at least LEAST / (1 + LEAST) of |A| + |B|
+    return pairs.filter(sized("na", "nb") & (apart * sum(LEAST) <= (F.col("na") + F.col("nb")) * (LEAST[1] - LEAST[0]))).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -160,19 +182,20 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def groups(texts: DataFrame) -> DataFrame:
-    """(s, label): for each set that has a similar one, the smallest digest reachable. texts: s, text, of distinct s."""
+    """(s, label): for each set that has a similar one, the smallest digest reachable. texts: s, n, p, text, of distinct s."""
+    sketches = durable(texts.select("s", "n", "p"))
     rows = durable(shared_keys(texts))
-    low = rows.groupBy("key").agg(F.min("s").alias("a"))
-    stars = durable(rows.join(low, "key").filter("s <> a").select("a", F.col("s").alias("b")).distinct())
-    first = durable(verified(stars, texts))
+    low = rows.groupBy("key").agg(F.min(F.struct("s", "n")).alias("low"))
+    stars = rows.join(low, "key").filter("s <> low.s").filter(sized("n", "low.n")).select(F.col("low.s").alias("a"), F.col("s").alias("b")).distinct()
+    first = durable(verified(durable(possible(stars, sketches)), texts))
     label = components(first)
-    labelled = rows.join(label, rows.s == label.node, "left").select("key", "s", F.coalesce("label", "s").alias("label"))
+    labelled = rows.join(label, rows.s == label.node, "left").select("key", "s", "n", F.coalesce("label", "s").alias("label"))
     # keys whose members are joined already, or are two that were compared, need nothing more
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).filter("l < m AND n > 2").select("key")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("c")).filter("l < m AND c > 2").select("key")
     left = durable(labelled.join(mixed, "key"))
-    a, b = (left.select("key", F.col("s").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
-    rest = a.join(b, "key").filter("a < b AND la <> lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    return components(first.union(verified(rest, texts))).select(F.col("node").alias("s"), "label")
+    a, b = (left.select("key", F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("label").alias(f"l{c}")) for c in "ab")
+    rest = a.join(b, "key").filter("a < b AND la <> lb").filter(sized("na", "nb")).select("a", "b").distinct()
+    return components(first.union(verified(durable(possible(rest, sketches)), texts))).select(F.col("node").alias("s"), "label")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,8 +204,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     keyed = docs.select(*row_key(doc_id, text), F.col(text).cast("string").alias("text"))
     found = durable(sets_of(keyed))
     ranked = F.struct((F.col("_d") == NULL_ID).alias("n"), F.col("_d"), F.col("_h"))
-    best = durable(found.groupBy("s").agg(F.min(ranked).alias("k")))
-    texts = durable(keyed.join(best.select("s", "k._d", "k._h"), ["_d", "_h"]).dropDuplicates(["s"]).select("s", "text"))
+    best = durable(found.groupBy("s").agg(F.min(ranked).alias("k"), F.first("n").alias("n"), F.first("p").alias("p")))
+    texts = durable(keyed.join(best.select("s", "n", "p", "k._d", "k._h"), ["_d", "_h"]).dropDuplicates(["s"]).select("s", "n", "p", "text"))
     label = groups(texts)
     chosen = best.join(label, "s", "left").groupBy(F.coalesce("label", "s").alias("label")).agg(F.min("k").alias("k")).select("k._d", "k._h", F.lit(True).alias("_kept"))
     fate = found.select("_d", "_h").distinct().join(chosen, ["_d", "_h"], "left").select("_d", "_h", F.coalesce("_kept", F.lit(False)).alias("_kept"))
