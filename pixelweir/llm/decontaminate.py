@@ -161,14 +161,17 @@ def _matches(items: Items, texts: list[bytes], least: float) -> Iterator[tuple[i
                     x[0], x[1] = max(x[0], share), x[1] + 1
         for (t, i), (share, n) in sorted(found.items()):
             yield t, i, share, n
-    short = {tuple(w.tolist()): i for i, w in enumerate(items.words) if len(w) < N}
+    short: dict[tuple[int, ...], list[int]] = {}
+    for i, w in enumerate(items.words):
+        if len(w) < N:
+            short.setdefault(tuple(w.tolist()), []).append(i)
     if short and len(words):  # no gram fits: the item must stand there as a whole
         for size in {len(s) for s in short}:
             seen: dict[tuple[int, int], int] = {}
             for p in range(len(words) - size + 1):
-                i = short.get(tuple(words[p : p + size].tolist()))
-                if i is not None and number[p] == number[p + size - 1]:
-                    seen[int(number[p]), i] = seen.get((int(number[p]), i), 0) + 1
+                if number[p] == number[p + size - 1]:
+                    for i in short.get(tuple(words[p : p + size].tolist()), ()):
+                        seen[int(number[p]), i] = seen.get((int(number[p]), i), 0) + 1
             for (t, i), n in sorted(seen.items()):
                 yield t, i, 1.0, n
 
