@@ -5,17 +5,21 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside joins; BIGINT's smallest value, turned back into null at the end.
 NULL_ID = -(2**63)
 #: Arrow batches handed to Python stay below these; long texts can't pile up in one batch.
 BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
+#: Bits (as a power of two) of the set that says which rows may be among some keys: half a megabyte at any input size.
+ROW_BITS = 22
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,11 +47,21 @@ def tidy(run: Callable) -> Callable:
     return tidied
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; without one, a folder of this machine where Spark runs within it alone."""
+    context = spark.sparkContext
+    if named := context.getConf().get("spark.checkpoint.dir"):
+        return named.rstrip("/")
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="pixelweir-")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the shared folder that the cluster names; a local folder only where none is set."""
+    """Cuts lineage with a reliable checkpoint in the shared folder. Its files go with it if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pixelweir-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -59,6 +73,45 @@ def row_key(id_column: str = "doc_id", text_column: str = "text") -> list:
     ]
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def may_hold(keys: DataFrame, d: str = "_d", h: str = "_h") -> Column:
+    """Whether the row key (d, h) may be among those of keys (_d, _h): a test against a bit set of fixed size, so that
+    only rows that pass it need a join, and the texts of all others no shuffle. More keys only make more rows pass."""
+    spark = keys.sparkSession
+    words = 1 << (ROW_BITS - 6)
+    own = keys.select(F.expr(f"pmod(xxhash64(_d, _h), {1 << ROW_BITS})").alias("bit")).selectExpr("bit div 64 AS w", "shiftleft(1L, int(bit % 64)) AS m")
+    every = own.union(spark.range(words).selectExpr("id AS w", "0L AS m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    bits = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "m"))), lambda x: x["m"]).alias("bits")).scalar()  # `words` rows
+    bit = F.pmod(F.xxhash64(F.col(d), F.col(h)), F.lit(1 << ROW_BITS))
+    return F.call_function("shiftright", F.get(bits, F.floor(bit / 64).cast("int")), F.pmod(bit, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) != 0
+
+
+def columns(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever characters are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def keep_rows(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without those of the keys `gone` (_d, _h), and of the keys `once` only one row each."""
+    d, h = fresh(docs, "_d"), fresh(docs, "_h")
+    own = docs.select("*", *[k.alias(n) for k, n in zip(row_key(doc_id, text), (d, h), strict=True)])
+    touched = gone.select("_d", "_h") if once is None else gone.select("_d", "_h").union(once.select("_d", "_h"))
+    some = may_hold(durable(touched), d, h)
+    renamed = [F.col("_d").alias(d), F.col("_h").alias(h)]
+    left = own.filter(some).join(gone.select(*renamed), [d, h], "left_anti")
+    parts = [own.filter(~some), left]
+    if once is not None:
+        parts[1:] = [left.join(once.select(*renamed), [d, h], "left_anti"), left.join(once.select(*renamed), [d, h], "left_semi").dropDuplicates([d, h])]
+    return reduce(DataFrame.union, [p.select(*columns(docs)) for p in parts])
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import bound_batches, read, row_key, slices, tidy
+from pixelweir.llm.common import bound_batches, durable, keep_rows, read, row_key, slices, tidy
 from pixelweir.llm.rolling import gram_hashes, word_hashes
 
 #: Words of a seed; an item's score over its own from which it counts as found.
@@ -30,7 +30,7 @@ N, LEAST = 3, 0.6
 #: Bytes of texts that are hashed together.
 SLICE = 512 << 10
 #: Bytes of items in a block, which is broadcast.
-BLOCK = 16 << 20
+BLOCK = 4 << 20
 #: Alignment: a match adds 1, a changed word and a gap cost these.
 CHANGE, GAP = 0.5, 0.5
 #: An n-gram is a seed up to so many times the count of the rarer half's most frequent, or up to FLOOR documents.
@@ -190,18 +190,23 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
         yield held
 
 
-def find(docs: DataFrame, items: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, score, n_passages): a row for each document row and item that it holds; score is 1 for a whole copy."""
+def find(docs: DataFrame, items: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", keys: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, item_id, score, n_passages): a row for each document row and item that it holds; score is 1 for a whole copy. keys: long columns of docs to return instead of doc_id."""
     spark = docs.sparkSession
     bound_batches(spark)
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    known = [F.col(k) for k in keys] if keys else [F.col(doc_id).cast("long").alias("doc_id")]
+    source = docs.select(*known, F.col(text).cast("string").alias("text"))
     kind = items.select(item_id).schema[0].dataType
-    out = spark.createDataFrame([], f"doc_id long, item_id {kind.simpleString()}, score double, n_passages long")
+    out = spark.createDataFrame([], _schema(source, kind))
     for rows in _blocks(items, item_id, item_text):
-        out = out.unionByName(_against(source, Items.of(rows), least, kind))
+        out = out.union(_against(source, Items.of(rows), least, kind))
     return out
 
 
+def _schema(source: DataFrame, kind) -> str:
+    return ", ".join([*[f"{k} long" for k in source.columns[:-1]], f"item_id {kind.simpleString()}, score double, n_passages long"])
+
+
 def _against(source: DataFrame, block: Items, least: float, kind) -> DataFrame:
     spark = source.sparkSession
     shared = spark.sparkContext.broadcast(block)
@@ -218,32 +223,32 @@ def _against(source: DataFrame, block: Items, least: float, kind) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["gram", "n"])
 
     counts = np.zeros(len(block.grams), np.int64)
-    for r in source.select("text").mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():  # a row for each n-gram of the block at most
-        counts[r.gram] = r.n
+    counted = source.select("text").mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # a row for each n-gram of the block at most
+    counts[counted["gram"].to_numpy()] = counted["n"].to_numpy()
     seeds = spark.sparkContext.broadcast(block.seeds(counts))
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_type = to_arrow_type(kind)
+    names = source.columns[:-1]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = seeds.value
         for whole in batches:
             for b in slices(whole, "text", SLICE):
-                ids = b.column("doc_id").to_pylist()
                 found = list(_matches(items, [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()], least))
+                at = pa.array([t for t, *_ in found], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[t] for t, *_ in found], pa.int64()), pa.array([items.ids[i] for _, i, *_ in found], id_type), pa.array([s for _, _, s, _ in found], pa.float64()), pa.array([n for *_, n in found], pa.int64())],
-                    ["doc_id", "item_id", "score", "n_passages"],
+                    [*[b.column(k).take(at) for k in names], pa.array([items.ids[i] for _, i, *_ in found], id_type), pa.array([s for _, _, s, _ in found], pa.float64()), pa.array([n for *_, n in found], pa.int64())],
+                    [*names, "item_id", "score", "n_passages"],
                 )
 
-    return source.mapInArrow(tidy(match), f"doc_id long, item_id {kind.simpleString()}, score double, n_passages long")
+    return source.mapInArrow(tidy(match), _schema(source, kind))
 
 
 def clean(docs: DataFrame, items: DataFrame, least: float = LEAST) -> DataFrame:
-    """The rows of docs that hold no item, with their own columns."""
-    key = F.xxhash64(*row_key())
-    found = find(docs.select(key.alias("doc_id"), "text"), items, least).select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_row", key).join(found, "_row", "left_anti").select(*docs.columns)
+    """The rows of docs that hold no item, with their own columns. Rows are known by id and text, 128 bits."""
+    d, h = row_key()
+    return keep_rows(docs, durable(find(docs.select(d, h, "text"), items, least, keys=("_d", "_h")).select("_d", "_h").distinct()))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ Equal lines are merged before tokens are counted, so a line in a third of all do
 leaf is frequent is first asked of a bit set of fixed size, then of the exact counts.
 
 Results: null and empty texts keep what they are; lines without tokens are never dropped. Repeated rows count as one
-document each and lose the same lines (both rows of the document that keeps a line keep it). Other columns stay.
+document each and lose the same lines (both rows of the document that keeps a line keep it). Other columns stay,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import bound_batches, durable, read, row_key, slices, tidy
+from pixelweir.llm.common import bound_batches, columns, durable, fresh, may_hold, read, row_key, slices, tidy
+from pixelweir.llm.native import let
 from pixelweir.llm.rolling import Prefixes, mix
 
 DEPTH, MIN_DOCS, LEAST = 2, 10, 0.6
@@ -108,72 +109,77 @@ def dropped_lines(keyed: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS
             for b in slices(whole, "text", SLICE):
                 x = Lines(_raw(b), depth)
                 d, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_h"))
-                some = np.flatnonzero(maybe[(x.leaf & np.uint64((1 << BITS) - 1)).astype(np.int64)])
+                common = maybe[(x.leaf & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+                some = np.flatnonzero(common | (x.size >= LONG))
                 size = x.size[some]
+                # a variable token has no key, nor has any token of a leaf that isn't frequent; they count towards the size alone
                 at = np.repeat(x.first[some], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                # a variable token has no key; it counts towards the size alone
-                fixed = ~x.variable[at]
-                keys = x.keys[at][fixed].view(np.int64)
+                fixed = ~x.variable[at] & np.repeat(common[some], size)
                 edges = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(some)), size)[fixed], minlength=len(some)))]).astype(np.int32)
+                exact = pa.array(x.exact[some].view(np.int64), mask=size < LONG)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.leaf[some].view(np.int64)), pa.array(x.hash[some].view(np.int64)), pa.array(d[x.text[some]]), pa.array(h[x.text[some]]), pa.array(x.line[some].astype(np.int32)), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(edges), pa.array(keys))],
-                    ["leaf", "m", "_d", "_h", "line", "size", "keys"],
-                )
-
-    found = durable(keyed.select("_d", "_h", "text").mapInArrow(tidy(lines), "leaf long, m long, _d long, _h long, line int, size int, keys array<long>").join(frequent, "leaf"))
-    kinds = durable(found.groupBy("m").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    tokens = kinds.select("m", "n", F.explode("keys").alias("key"))
-    constant = durable(tokens.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("key"))
-    fixed = tokens.join(constant, "key").groupBy("m").agg(F.count("*").alias("fixed"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("s"))
+                    [
+                        pa.array(x.leaf[some].view(np.int64)), pa.array(x.hash[some].view(np.int64)), exact, pa.array(d[x.text[some]]), pa.array(h[x.text[some]]), pa.array(x.line[some].astype(np.int32)),
+                        pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(edges), pa.array(x.keys[at][fixed].view(np.int64))),
+                    ],
+                    ["leaf", "m", "x", "_d", "_h", "line", "size", "keys"],
+                )
+
+    # a line is known by (leaf, m), a token by (leaf, key), a template by (leaf, x, s): 128 bits and more
+    every = durable(keyed.select("_d", "_h", "text").mapInArrow(tidy(lines), "leaf long, m long, x long, _d long, _h long, line int, size int, keys array<long>"))
+    found = every.filter(F.size("keys") > 0).join(frequent, "leaf")
+    kinds = durable(found.groupBy("leaf", "m").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    tokens = kinds.select("leaf", "m", "n", F.explode("keys").alias("key"))
+    constant = durable(tokens.groupBy("leaf", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "key"))
+    fixed = tokens.join(constant, ["leaf", "key"]).groupBy("leaf", "m").agg(F.count("*").alias("fixed"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("s"))
     # a leaf's number of tokens is in its keys, so constants and their places are the whole template
-    template = durable(kinds.join(fixed, "m").filter(F.col("fixed") >= least * F.col("size")).select("m", F.xxhash64("x", "s").alias("t")))
-    placed = durable(found.select("m", "_d", "_h", "line").join(template, "m").select("t", "_d", "_h", "line"))
-    recurring = placed.groupBy("t", "_d", "_h").agg(F.lit(1).alias("one")).groupBy("t").agg(F.count("*").alias("docs"), F.min(F.struct("_d", "_h")).alias("first")).filter(F.col("docs") >= min_docs)
+    template = durable(kinds.join(fixed, ["leaf", "m"]).filter(F.col("fixed") >= least * F.col("size")).select("leaf", "m", F.struct("leaf", "x", "s").alias("t")))
+    placed = durable(every.select("leaf", "m", "_d", "_h", "line").join(template, ["leaf", "m"]).select("t", "_d", "_h", "line"))
+    recurring = placed.select("t", "_d", "_h").distinct().groupBy("t").agg(F.count("*").alias("docs"), F.min(F.struct("_d", "_h")).alias("first")).filter(F.col("docs") >= min_docs)
     out = placed.join(durable(recurring), "t")
     if keep_first:
         out = out.filter(F.struct("_d", "_h") != F.col("first"))
-    return out.select("_d", "_h", "line").union(repeated_lines(keyed))
+    return out.select("_d", "_h", "line").union(repeated_lines(every.filter("x IS NOT NULL").select("x", "m", "_d", "_h", "line")))
 
 
-def repeated_lines(keyed: DataFrame) -> DataFrame:
-    """(_d, _h, line): the long lines that stand in an earlier document too."""
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text", SLICE):
-                x = Lines(_raw(b), 0)
-                d, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("_d", "_h"))
-                some = np.flatnonzero(x.size >= LONG)
-                yield pa.RecordBatch.from_arrays([pa.array(x.exact[some].view(np.int64)), pa.array(d[x.text[some]]), pa.array(h[x.text[some]]), pa.array(x.line[some].astype(np.int32))], ["x", "_d", "_h", "line"])
-
-    found = durable(keyed.select("_d", "_h", "text").mapInArrow(tidy(lines), "x long, _d long, _h long, line int"))
+def repeated_lines(found: DataFrame) -> DataFrame:
+    """(_d, _h, line): of long lines (x, m, _d, _h, line), x and m being 128 bits of equal ones, those that an earlier document has too."""
     place = F.struct("_d", "_h")
-    twice = durable(found.groupBy("x").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("x", "first"))
-    return found.join(twice, "x").filter(place != F.col("first")).select("_d", "_h", "line")
+    twice = durable(found.groupBy("x", "m").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("x", "m", "first"))
+    return found.join(twice, ["x", "m"]).filter(place != F.col("first")).select("_d", "_h", "line")
+
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines of these numbers."""
 
-def without_lines(texts: pd.Series, lines: pd.Series) -> pd.Series:
-    def one(text, gone):
-        if text is None or gone is None or not len(gone):
-            return text
-        drop = set(gone)
-        return "\n".join([x for i, x in enumerate(text.split("\n")) if i not in drop])
+    def rest(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
 
-    return pd.Series([one(t, g) for t, g in zip(texts, lines, strict=True)], dtype=object)
+    return F.when(gone.isNull(), text).otherwise(let(F.split(text, "\n", -1), rest))
 
 
-def drop_templates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, least: float = LEAST, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, their text without the dropped lines; with `_dropped`, the numbers of those (null: none)."""
+def drop_templates(
+    docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, least: float = LEAST, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text", dropped: str | None = None
+) -> DataFrame:
+    """The rows of docs, their text without the dropped lines. dropped: a new column for the numbers of those (null: none)."""
+    if dropped and dropped != fresh(docs, dropped):
+        raise ValueError(f"docs has a column {dropped} already")
     keyed = docs.select(*row_key(doc_id, text), F.col(text).cast("string").alias("text"))
-    gone = dropped_lines(keyed, depth, min_docs, least, keep_first).groupBy("_d", "_h").agg(F.collect_set("line").alias("_dropped"))
-    own = docs.select("*", *row_key(doc_id, text)).join(gone, ["_d", "_h"], "left")
-    cut = F.pandas_udf(without_lines, "string")
-    return own.select(*[cut(F.col(c).cast("string"), F.col("_dropped")).alias(c) if c == text else F.col(c) for c in docs.columns], "_dropped")
+    gone = durable(dropped_lines(keyed, depth, min_docs, least, keep_first).groupBy("_d", "_h").agg(F.collect_set("line").alias("lines")))
+    d, h, lines = fresh(docs, "_d"), fresh(docs, "_h"), dropped or fresh(docs, "_lines")
+    own = docs.select("*", *[k.alias(n) for k, n in zip(row_key(doc_id, text), (d, h), strict=True)])
+    some = may_hold(gone, d, h)  # only texts that may lose a line are shuffled
+    touched = own.filter(some).join(gone.select(F.col("_d").alias(d), F.col("_h").alias(h), F.col("lines").alias(lines)), [d, h], "left")
+    cut = touched.withColumn(text, without_lines(F.col(text).cast("string"), F.col(lines)))
+    rest = own.filter(~some).withColumn(text, F.col(text).cast("string")).withColumn(lines, F.lit(None).cast("array<int>"))
+    out = columns(docs) + ([F.col(dropped)] if dropped else [])
+    return rest.select(*out).union(cut.select(*out))
 
 
 def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = drop_templates(docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")))
+    found = drop_templates(docs.withColumn("n_lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")), dropped="_dropped")
     return found.select("doc_id", "n_lines", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import NULL_ID, bound_batches, durable, read, row_key, shuffles, tidy
+from pixelweir.llm.common import NULL_ID, bound_batches, durable, keep_rows, read, shuffles, tidy
 
 #: Generator polynomial of the (23,12) Golay code: x^11+x^10+x^6+x^5+x^4+x^2+1. A fixed value.
 GOLAY = 0b110001110101
@@ -268,12 +268,12 @@ def near_duplicates(docs: DataFrame, most: int = 3, doc_id: str = "doc_id", text
 
 def keep_one(docs: DataFrame, most: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of docs for each component, with its own columns: that of the smallest doc_id (null last), of equal rows any one."""
-    prints = durable(fingerprints(docs, doc_id, text))
-    ranked = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("_d"), F.col("h").alias("_h"))
+    prints = durable(fingerprints(docs, doc_id, text).withColumn("_d", F.coalesce("doc_id", F.lit(NULL_ID))))
+    ranked = F.struct(F.col("doc_id").isNull().alias("n"), F.col("_d"), F.col("h").alias("_h"))
     best = prints.groupBy("fp").agg(F.min(ranked).alias("k")).join(groups(prints, most), "fp").groupBy("label").agg(F.min("k").alias("k"))
-    keyed = docs.select("*", *row_key(doc_id, text))
-    chosen = keyed.join(best.select("k._d", "k._h"), ["_d", "_h"], "left_semi")
-    return chosen.dropDuplicates(["_d", "_h"]).select(*docs.columns)
+    rows = prints.groupBy("_d", F.col("h").alias("_h")).agg(F.count("*").alias("n"))
+    fate = durable(rows.join(best.select("k._d", "k._h", F.lit(True).alias("kept")), ["_d", "_h"], "left").filter("kept IS NULL OR n > 1"))
+    return keep_rows(docs, fate.filter("kept IS NULL"), fate.filter("kept"), doc_id, text)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import NULL_ID, bound_batches, durable, row_key, shuffles, slices, tidy
+from pixelweir.llm.common import NULL_ID, bound_batches, durable, keep_rows, may_hold, row_key, shuffles, slices, tidy
 from pixelweir.llm.rolling import Prefixes, gram_hashes, mix
 from pixelweir.llm.simhash import components
 
@@ -70,6 +70,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return LEAST[1] * both >= LEAST[0] * (len(a) + len(b) - both)
 
 
+def digest(x: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(x.tobytes())
+
+
 def parities(x: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
 
@@ -86,18 +90,16 @@ def sets_of(keyed: DataFrame) -> DataFrame:
             for b in slices(whole, "text", SLICE):
                 sets = shingle_sets(_raw(b))
                 some = [i for i, x in enumerate(sets) if len(x)]
-                s = np.array([xxhash.xxh64_intdigest(sets[i].tobytes()) for i in some], np.uint64).view(np.int64)
+                s = np.array([digest(sets[i]) for i in some], np.uint64).view(np.int64)
                 at = pa.array(some, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("_d").take(at), b.column("_h").take(at), pa.array(s), pa.array([len(sets[i]) for i in some], pa.int32()), pa.array([parities(sets[i]) for i in some], pa.list_(pa.int64()))], ["_d", "_h", "s", "n", "p"])
 
     return keyed.select("_d", "_h", "text").mapInArrow(tidy(run), "_d long, _h long, s long, n int, p array<long>")
 
 
-def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that recur in a sample of texts, sorted, and in how many: a bounded sample, so a bounded number."""
-    spark = texts.sparkSession
-    total = texts.count()
-    some = texts.filter(F.pmod(F.xxhash64("s"), F.lit(max(1, total // SAMPLE))) == 0)
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, total // SAMPLE))) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -113,25 +115,29 @@ def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], n[order]
 
 
-def shared_keys(texts: DataFrame) -> DataFrame:
-    """(key, s, n): the keys that two sets or more have, with these sets' digests and sizes. texts: s, n, text."""
+def shared_keys(texts: DataFrame, total: int) -> DataFrame:
+    """(key, s, n): the keys that two sets or more have, with these sets' digests and sizes. texts: text, of distinct sets."""
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(frequent(texts))
+    shared = spark.sparkContext.broadcast(frequent(texts, total))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value
         for whole in batches:
             for b in slices(whole, "text", SLICE):
-                out = []
+                out, s, n = [], [], []
                 for x in shingle_sets(_raw(b)):
+                    if not len(x):
+                        continue
                     often = np.zeros(len(x), np.int64)
                     if len(known):
                         at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                         often = np.where(known[at] == x, count[at], 0)
                     out.append(x[np.lexsort((x, often))[: n_keys(len(x))]])
+                    s.append(digest(x))
+                    n.append(len(x))
                 sizes = [len(k) for k in out]
                 key = np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)
-                s, n = (np.repeat(b.column(c).to_numpy(zero_copy_only=False), sizes) for c in ("s", "n"))
+                s, n = np.repeat(np.array(s, np.uint64).view(np.int64), sizes), np.repeat(np.array(n, np.int32), sizes)
                 for i in range(0, len(key), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(s[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["key", "s", "n"])
 
@@ -149,7 +155,7 @@ def shared_keys(texts: DataFrame) -> DataFrame:
             last = tuple(x[-1:] if pending else x[:0] for x in (key, s, n))
             yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(s[keep]), pa.array(n[keep])], ["key", "s", "n"])
 
-    rows = texts.select("s", "n", "text").mapInArrow(tidy(keys), "key long, s long, n int")
+    rows = texts.select("text").mapInArrow(tidy(keys), "key long, s long, n int")
     return rows.repartition(shuffles(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(repeated), "key long, s long, n int")
 
 
@@ -166,8 +172,8 @@ def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return pairs.filter(sized("na", "nb") & (apart * sum(LEAST) <= (F.col("na") + F.col("nb")) * (LEAST[1] - LEAST[0]))).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b): the pairs whose sets are similar."""
+def verified(pairs: DataFrame, keyed: DataFrame, best: DataFrame) -> DataFrame:
+    """(a, b): the pairs whose sets are similar. keyed: _d, _h, text; best: s, k (_d, _h), the row that stands for a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -176,18 +182,21 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 right = shingle_sets([t.encode("utf-8", "surrogatepass") for t in b.column("tb").to_pylist()])
                 yield b.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(left, right, strict=True)], pa.bool_()))
 
+    members = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
+    rows = durable(members.join(best, "s").select("s", "k._d", "k._h"))
+    texts = keyed.filter(may_hold(rows)).join(rows, ["_d", "_h"]).dropDuplicates(["s"])
     one = pairs.join(texts.select(F.col("s").alias("a"), F.col("text").alias("ta")), "a")
     both = one.join(texts.select(F.col("s").alias("b"), F.col("text").alias("tb")), "b")
     return both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
-def groups(texts: DataFrame) -> DataFrame:
-    """(s, label): for each set that has a similar one, the smallest digest reachable. texts: s, n, p, text, of distinct s."""
-    sketches = durable(texts.select("s", "n", "p"))
-    rows = durable(shared_keys(texts))
+def groups(keyed: DataFrame, texts: DataFrame, best: DataFrame) -> DataFrame:
+    """(s, label): for each set that has a similar one, the smallest digest reachable. texts: text, a row for each set; keyed, best: as in `verified`, best with n and p too."""
+    sketches = best.select("s", "n", "p")
+    rows = durable(shared_keys(texts, best.count()))
     low = rows.groupBy("key").agg(F.min(F.struct("s", "n")).alias("low"))
     stars = rows.join(low, "key").filter("s <> low.s").filter(sized("n", "low.n")).select(F.col("low.s").alias("a"), F.col("s").alias("b")).distinct()
-    first = durable(verified(durable(possible(stars, sketches)), texts))
+    first = durable(verified(durable(possible(stars, sketches)), keyed, best))
     label = components(first)
     labelled = rows.join(label, rows.s == label.node, "left").select("key", "s", "n", F.coalesce("label", "s").alias("label"))
     # keys whose members are joined already, or are two that were compared, need nothing more
@@ -195,7 +204,7 @@ def groups(texts: DataFrame) -> DataFrame:
     left = durable(labelled.join(mixed, "key"))
     a, b = (left.select("key", F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("label").alias(f"l{c}")) for c in "ab")
     rest = a.join(b, "key").filter("a < b AND la <> lb").filter(sized("na", "nb")).select("a", "b").distinct()
-    return components(first.union(verified(durable(possible(rest, sketches)), texts))).select(F.col("node").alias("s"), "label")
+    return components(first.union(verified(durable(possible(rest, sketches)), keyed, best))).select(F.col("node").alias("s"), "label")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,10 +214,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     found = durable(sets_of(keyed))
     ranked = F.struct((F.col("_d") == NULL_ID).alias("n"), F.col("_d"), F.col("_h"))
     best = durable(found.groupBy("s").agg(F.min(ranked).alias("k"), F.first("n").alias("n"), F.first("p").alias("p")))
-    texts = durable(keyed.join(best.select("s", "n", "p", "k._d", "k._h"), ["_d", "_h"]).dropDuplicates(["s"]).select("s", "n", "p", "text"))
-    label = groups(texts)
-    chosen = best.join(label, "s", "left").groupBy(F.coalesce("label", "s").alias("label")).agg(F.min("k").alias("k")).select("k._d", "k._h", F.lit(True).alias("_kept"))
-    fate = found.select("_d", "_h").distinct().join(chosen, ["_d", "_h"], "left").select("_d", "_h", F.coalesce("_kept", F.lit(False)).alias("_kept"))
-    left = docs.select("*", *row_key(doc_id, text)).join(fate, ["_d", "_h"], "left").filter(F.coalesce("_kept", F.lit(True)))
-    # rows without a word have no fate: they all stay
-    return left.withColumn("_k", F.when(F.col("_kept"), F.lit(-1)).otherwise(F.monotonically_increasing_id())).dropDuplicates(["_d", "_h", "_k"]).select(*docs.columns)
+    rows = found.groupBy("_d", "_h").agg(F.count("*").alias("n"))
+
+    def fate(stays: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows that go, and those of which one goes on. Rows without a word aren't among them: they all stay."""
+        some = durable(rows.join(stays.select("k._d", "k._h", F.lit(True).alias("kept")), ["_d", "_h"], "left").filter("kept IS NULL OR n > 1"))
+        return some.filter("kept IS NULL"), some.filter("kept")
+
+    worded = keep_rows(keyed, *fate(best), "_d", "text")
+    label = groups(keyed, worded, best)
+    stays = best.join(label, "s", "left").groupBy(F.coalesce("label", "s").alias("label")).agg(F.min("k").alias("k"))
+    return keep_rows(docs, *fate(stays), doc_id, text)
