@@ -1,18 +1,17 @@
-"""A corpus pipeline of six stages: documents in, token ids out.
+"""A corpus pipeline of five stages: documents in, token ids out.
 
 Each stage takes all that the one before kept and is written as Parquet in the shared folder before the next reads it.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweir.llm import bpe, decontaminate, line_templates, quality, simhash, word_sets
-from pixelweir.llm.common import read
+from pixelweir.llm.common import read, shared_folder
 from pixelweir.llm.native import SPACES
 
 
@@ -29,13 +28,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.keep_one(docs)
-
-
-def word_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose 5-word Jaccard similarity is 0.8 or more."""
-    return word_sets.keep_one(docs)
+    """One document of each group: first of fingerprints that link, then of texts whose 5-word Jaccard similarity is 0.8 or more, of which fingerprints alone miss many."""
+    return word_sets.keep_one(simhash.keep_one(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +46,6 @@ STAGES = [
     ("quality_rules", quality_rules),
     ("line_dedup", line_dedup),
     ("near_dedup", near_dedup),
-    ("word_dedup", word_dedup),
     ("decontamination", decontamination),
     ("tokens", tokens),
 ]
@@ -63,8 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pixelweir-")
-    top = f"{shared.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    top = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{top}/{k}-{name}")
         docs = spark.read.parquet(path)
