@@ -127,8 +127,9 @@ def dropped_lines(keyed: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS
 
     # a line is known by (leaf, m), a token by (leaf, key), a template by (leaf, x, s): 128 bits and more
     every = durable(keyed.select("_d", "_h", "text").mapInArrow(tidy(lines), "leaf long, m long, x long, _d long, _h long, line int, size int, keys array<long>"))
-    found = every.filter(F.size("keys") > 0).join(frequent, "leaf")
-    kinds = durable(found.groupBy("leaf", "m").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    # equal lines are merged before they meet the frequent leaves: by leaf alone, a leaf's lines would all go to one task
+    merged = every.filter(F.size("keys") > 0).groupBy("leaf", "m").agg(F.count("*").alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    kinds = durable(merged.join(frequent, "leaf"))
     tokens = kinds.select("leaf", "m", "n", F.explode("keys").alias("key"))
     constant = durable(tokens.groupBy("leaf", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "key"))
     fixed = tokens.join(constant, ["leaf", "key"]).groupBy("leaf", "m").agg(F.count("*").alias("fixed"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("s"))
