@@ -6,12 +6,14 @@ n - ceil(LEAST * n) + 1 of each, n being the set's own size. So those are the ke
 stand as 64-bit hashes), and candidates are verified on the whole sets. The order puts shingles that are frequent in a
 sample of documents last, which makes keys rare; the sample has no bearing on the result.
 
-Two exact bounds come before that: similar sets differ by no more than a fifth in size, and each shingle that only one of
-two sets has flips one bit of its parities, so parities that differ in more bits than the sets may differ in shingles
-rule a pair out.
+Three exact bounds come before that: similar sets differ by no more than a fifth in size; two sets whose first common
+shingle stands at places i and j share no more than what follows there; and each shingle that only one of two sets has
+flips one bit of its parities, so parities that differ in more bits than the sets may differ in shingles rule a pair out.
 
-Equal sets are merged before. Members of a key are first compared with the smallest one, which joins groups of near
-copies without making all pairs; then all pairs of a key are compared that are not yet joined.
+Equal sets are merged before. Members of a key are first compared with the smallest set: of sets that are one passage
+and a few words of their own, any two that are similar are also similar to that one. In further rounds they are compared
+with a member that each key chooses for itself; as near copies share many keys, they meet many such members, and large
+groups of them are joined without making all pairs. Only then pairs of a key are compared that are not yet joined.
 
 Results: texts without a word have no set and are never merged. Repeated rows are merged. A null doc_id comes last.
 """
@@ -36,7 +38,9 @@ LEAST = (4, 5)
 #: Documents sampled for the order of shingles, and from how many of them a shingle counts as frequent.
 SAMPLE, FREQUENT = 20_000, 4
 SLICE = 512 << 10
-#: Parity bits of a set.
+#: Rounds in which the members of a key are compared with one of them, before all pairs that are left.
+STARS = 3
+#: Parity bits of a set at least; larger sets have as many as shingles, up to the next power of two.
 BITS = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -75,7 +79,8 @@ def digest(x: np.ndarray) -> int:
 
 
 def parities(x: np.ndarray) -> np.ndarray:
-    return np.packbits(np.bincount((x & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
+    bits = max(BITS, 1 << (len(x) - 1).bit_length())
+    return np.packbits(np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.int64)
 
 
 def _raw(b: pa.RecordBatch) -> list[bytes]:
@@ -116,9 +121,10 @@ def frequent(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_keys(texts: DataFrame, total: int) -> DataFrame:
-    """(key, s, n): the keys that two sets or more have, with these sets' digests and sizes. texts: text, of distinct sets."""
+    """(key, s, n, i): the keys that two sets or more have, with these sets' digests and sizes and the key's place in the set's order. texts: text, of distinct sets."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(frequent(texts, total))
+    names, types = ("key", "s", "n", "i"), (np.int64, np.int64, np.int32, np.int32)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count = shared.value
@@ -138,38 +144,51 @@ def shared_keys(texts: DataFrame, total: int) -> DataFrame:
                 sizes = [len(k) for k in out]
                 key = np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)
                 s, n = np.repeat(np.array(s, np.uint64).view(np.int64), sizes), np.repeat(np.array(n, np.int32), sizes)
+                place = np.concatenate([np.zeros(0, np.int32), *[np.arange(k, dtype=np.int32) for k in sizes]])
                 for i in range(0, len(key), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)]), pa.array(s[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], ["key", "s", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 16)]) for x in (key, s, n, place)], names)
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)  # the last row, if its key isn't known to recur
+        last = [np.zeros(0, t) for t in types]  # the last row, if its key isn't known to recur
         open_key = None
         for b in batches:
-            key, s, n = (np.concatenate([x, b.column(c).to_numpy(zero_copy_only=False)]) for x, c in zip(last, ("key", "s", "n"), strict=True))
+            rows = [np.concatenate([x, b.column(c).to_numpy(zero_copy_only=False)]) for x, c in zip(last, names, strict=True)]
+            key = rows[0]
             if not len(key):
                 continue
             same = key[1:] == key[:-1]
             keep = np.r_[same, False] | np.r_[key[0] == open_key if open_key is not None else False, same]
             pending = not keep[-1]
             open_key = None if pending else key[-1]
-            last = tuple(x[-1:] if pending else x[:0] for x in (key, s, n))
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(s[keep]), pa.array(n[keep])], ["key", "s", "n"])
+            last = [x[-1:] if pending else x[:0] for x in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], names)
 
-    rows = texts.select("text").mapInArrow(tidy(keys), "key long, s long, n int")
-    return rows.repartition(shuffles(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(repeated), "key long, s long, n int")
+    schema = "key long, s long, n int, i int"
+    rows = texts.select("text").mapInArrow(tidy(keys), schema)
+    return rows.repartition(shuffles(spark), "key").sortWithinPartitions("key").mapInArrow(tidy(repeated), schema)
 
 
-def sized(a: str, b: str):
-    return F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
+def allowed(na: str, ia: str, nb: str, ib: str):
+    """Whether sets of these sizes may be similar if their first common key stands at these places."""
+    a, b, i, j = (F.col(c).cast("long") for c in (na, nb, ia, ib))
+    size = F.least(a, b) * LEAST[1] >= F.greatest(a, b) * LEAST[0]
+    # similar sets share LEAST / (1 + LEAST) of |A| + |B| at least
+    return size & (F.least(a - i, b - j) * sum(LEAST) >= (a + b) * LEAST[0])
 
 
 def possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b): the pairs that sizes and parities don't rule out."""
+    """(a, b): the pairs that parities don't rule out."""
     for c in "ab":
         pairs = pairs.join(sketches.select(F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("p").alias(f"p{c}")), c)
-    apart = F.expr("aggregate(zip_with(pa, pb, (x, y) -> bit_count(x ^ y)), 0, (t, v) -> t + v)")
-    # |A - B| + |B - A| = |A| + |B| - 2 |A and B|, and the last is at least LEAST / (1 + LEAST) of |A| + |B|
-    return pairs.filter(sized("na", "nb") & (apart * sum(LEAST) <= (F.col("na") + F.col("nb")) * (LEAST[1] - LEAST[0]))).select("a", "b")
+    k = F.least(F.size("pa"), F.size("pb"))
+
+    def folded(p: str):
+        """The halves of twice as many parities add up to those of the smaller set."""
+        return F.when(F.size(p) == k, F.col(p)).otherwise(F.zip_with(F.slice(p, F.lit(1), k), F.slice(p, k + 1, k), lambda x, y: x.bitwiseXOR(y)))
+
+    apart = F.aggregate(F.zip_with(folded("pa"), folded("pb"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+    # |A - B| + |B - A| = |A| + |B| - 2 |A and B|
+    return pairs.filter(apart * sum(LEAST) <= (F.col("na") + F.col("nb")) * (LEAST[1] - LEAST[0])).select("a", "b")
 
 
 def verified(pairs: DataFrame, keyed: DataFrame, best: DataFrame) -> DataFrame:
@@ -194,17 +213,25 @@ def groups(keyed: DataFrame, texts: DataFrame, best: DataFrame) -> DataFrame:
     """(s, label): for each set that has a similar one, the smallest digest reachable. texts: text, a row for each set; keyed, best: as in `verified`, best with n and p too."""
     sketches = best.select("s", "n", "p")
     rows = durable(shared_keys(texts, best.count()))
-    low = rows.groupBy("key").agg(F.min(F.struct("s", "n")).alias("low"))
-    stars = rows.join(low, "key").filter("s <> low.s").filter(sized("n", "low.n")).select(F.col("low.s").alias("a"), F.col("s").alias("b")).distinct()
-    first = durable(verified(durable(possible(stars, sketches)), keyed, best))
-    label = components(first)
-    labelled = rows.join(label, rows.s == label.node, "left").select("key", "s", "n", F.coalesce("label", "s").alias("label"))
-    # keys whose members are joined already, or are two that were compared, need nothing more
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("c")).filter("l < m AND c > 2").select("key")
-    left = durable(labelled.join(mixed, "key"))
-    a, b = (left.select("key", F.col("s").alias(c), F.col("n").alias(f"n{c}"), F.col("label").alias(f"l{c}")) for c in "ab")
-    rest = a.join(b, "key").filter("a < b AND la <> lb").filter(sized("na", "nb")).select("a", "b").distinct()
-    return components(first.union(verified(durable(possible(rest, sketches)), keyed, best))).select(F.col("node").alias("s"), "label")
+    links = keyed.sparkSession.createDataFrame([], "a long, b long")
+    mixed = rows.withColumn("l", F.col("s"))
+    for k in range(STARS + 1):
+        if k < STARS:  # all members of a key with one of them: in the first round the smallest set, later any, another one for each key
+            order = F.struct("n", "s", "i", "l") if k == 0 else F.struct(F.xxhash64("key", "s", F.lit(k)).alias("o"), "s", "n", "i", "l")
+            low = mixed.groupBy("key").agg(F.min(order).alias("low")).select("key", *[F.col(f"low.{c}").alias(f"{c}b") for c in "snil"])
+            pairs = mixed.select("key", *[F.col(c).alias(f"{c}a") for c in "snil"]).join(low, "key")
+        else:  # all pairs that are left
+            one, other = (mixed.select("key", *[F.col(c).alias(f"{c}{x}") for c in "snil"]) for x in "ab")
+            pairs = one.join(other, "key").filter("sa < sb")
+        pairs = pairs.filter("la <> lb").filter(allowed("na", "ia", "nb", "ib")).select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
+        links = durable(links.union(verified(durable(possible(pairs, sketches)), keyed, best)))
+        label = components(links)
+        if k < STARS:
+            labelled = rows.join(label.withColumnRenamed("node", "s"), "s", "left").select("key", "s", "n", "i", F.coalesce("label", "s").alias("l"))
+            # keys whose members are joined already, or are two that were compared, need nothing more
+            more = labelled.groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y"), F.count("*").alias("c")).filter("x < y AND c > 2").select("key")
+            mixed = durable(labelled.join(more, "key"))
+    return label.select(F.col("node").alias("s"), "label")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
