@@ -1,36 +1,49 @@
 """Main text of web pages by wrapper induction.
 
-Pages become trees; like siblings are folded into one node, so that a tree is as small as the page's layout.
-The trees of a host are aligned by simple tree matching (the largest order-preserving match of nodes with equal tags
-and classes) and merged into a template, in each task first and then by host. A template node whose text never changes
-over the host's pages is the wrapper; nodes whose text varies are slots for content. A page is then aligned with its
-host's template: wrapper text goes, and so do parts that say themselves that they are menus, adverts, comments and the
-like. Inside an <article> or <main> a wrapper part is a whole container (PARTS) none of whose texts change on the host,
-beside slots that vary; single headings, cells, items and inline words that an author repeats there are still content.
+Pages become trees; like siblings are folded into one node, so that a tree is as small as the page's layout. The trees
+of a host are laid over one another into a template: for each node, how many pages have it, whether its text is the same
+on all of them, and how many words it held. These are sums and extremes by host and node, so that neither the order of
+pages nor a host with very many of them matters. A node belongs to the template if LEAST_PAGES pages and a SUPPORT-th of
+the host's pages have it, which leaves at most SUPPORT times as many nodes as a page has on average.
+
+A page is aligned with its host's template by simple tree matching (the largest order-preserving match of nodes with
+equal tags and classes). A node whose text never changes over the host's pages is the wrapper; nodes whose text varies
+are slots. The innermost container that holds SHARE of the host's varying text outside links is where the content is:
+on pages where it also holds most of the text, what stands beside it goes, but for headings. Tags, classes and roles
+decide what alignment leaves open: parts inside the content that say they are menus, adverts, comments and the like, and
+whole pages of hosts with fewer than LEAST_PAGES pages. Inside an <article> or <main> a wrapper part is a whole container
+(PARTS) none of whose texts change on the host, beside slots that vary; single headings, cells, items and inline words
+that an author repeats there are still content.
 
 The templates are broadcast if they are small enough (TEMPLATE_BYTES), else joined by host.
 
 Results: null and empty pages have no text. A null or odd url is a host of its own. Repeated rows are extracted alike;
-equal pages prove nothing constant unless another page of the host differs. Other columns are left out.
+equal pages prove nothing constant unless another page of the host differs. Elements nested more than DEPTH deep count
+as siblings, as in browsers; their text stays in its place. Other columns are left out.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweir.llm.common import bound_batches, durable, read, shuffles, tidy
+from pixelweir.llm.common import bound_batches, durable, read, tidy
 
 #: Pages from which a text that never changes counts as wrapper.
 LEAST_PAGES = 3
+#: A template's nodes stand on one of so many pages of the host at least.
+SUPPORT = 100
+#: Share of a host's varying text that a container has to hold, to be where the content is; and of a page's text, to be so there.
+SHARE, HERE = 0.8, 0.2
+#: Levels of a tree.
+DEPTH = 256
 TEMPLATE_BYTES = 16 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +56,8 @@ BLOCKS = frozenset(
 OUT = frozenset("aside audio button canvas dialog footer form head iframe map math menu nav noembed noframes noscript object option script search select style svg template textarea title video".split())
 #: Tags that a wrapper part inside an <article> or <main> begins with.
 PARTS = frozenset("address blockquote center details div dl fieldset figure ol p section table ul".split())
+#: Tags that may hold the content as a whole.
+CONTAINERS = frozenset("article body center div html main section".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in classes and ids of parts that are never main text.
 NAMES = frozenset(
@@ -86,10 +101,10 @@ def attributes(source: str) -> dict[str, str]:
 
 
 class Node:
-    __slots__ = ("tag", "key", "out", "holds", "main", "parts", "wrapper", "fixed")
+    __slots__ = ("tag", "key", "out", "holds", "main", "parts", "wrapper", "fixed", "up", "beside")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag = tag
+    def __init__(self, tag: str, attrs: dict[str, str], up: Node | None = None):
+        self.tag, self.up = tag, up
         names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()
         self.key = tag + "." + re.sub(r"[0-9]{2,}", "#", " ".join(sorted(names.split())))
         role = attrs.get("role", "").lower()
@@ -100,7 +115,7 @@ class Node:
         self.holds = self.out and not unseen and (tag not in OUT or tag == "form")
         self.main = not self.out and (tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article") or attrs.get("itemprop", "").lower() == "articlebody")
         self.parts: list[Node | str] = []
-        self.wrapper = self.fixed = False
+        self.wrapper = self.fixed = self.beside = False
 
 
 def parse(page: str) -> Node:
@@ -113,7 +128,7 @@ def parse(page: str) -> Node:
         at = m.end()
         text = m["text"] or m["cdata"]
         if text is not None:
-            stack[-1].parts.append(html.unescape(text) if "&" in text and m["text"] else text)
+            stack[min(len(stack) - 1, DEPTH)].parts.append(html.unescape(text) if "&" in text and m["text"] else text)
             continue
         tag = m["tag"]
         if tag is None:
@@ -144,8 +159,9 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in HOLDS_P:
                     break
-        node = Node(tag, attrs)
-        stack[-1].parts.append(node)
+        parent = stack[min(len(stack) - 1, DEPTH)]
+        node = Node(tag, attrs, parent)
+        parent.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
             if tag in ("textarea", "title"):
@@ -160,133 +176,152 @@ def parse(page: str) -> Node:
 class Shape:
     """A node of the folded tree: all like siblings as one."""
 
-    __slots__ = ("key", "nodes", "children")
+    __slots__ = ("key", "nodes", "children", "text", "words")
 
     def __init__(self, key: str, nodes: list[Node]):
         self.key, self.nodes = key, nodes
+        words = " ".join(" ".join(p for p in x.parts if isinstance(p, str)) for x in nodes).split()
+        #: Hash of the nodes' own words, 0 if there are none, and their number.
+        self.text = xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) >> 2 | 1 if words else 0
+        self.words = len(words)
         self.children: list[Shape] = []
 
-    def text_hash(self) -> int | None:
-        """Of the nodes' own words; None if there are none."""
-        words = " ".join(" ".join(p for p in x.parts if isinstance(p, str)) for x in self.nodes).split()
-        return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None
-
 
 def fold(nodes: list[Node], key: str) -> Shape:
     shape = Shape(key, nodes)
-    runs: list[tuple[str, list[Node]]] = []
     by_key: dict[str, list[Node]] = {}
     for x in nodes:
         for p in x.parts:
             if isinstance(p, Node) and p.tag not in ("script", "style", "head"):
-                if p.key in by_key:
-                    by_key[p.key].append(p)
-                else:
-                    by_key[p.key] = [p]
-                    runs.append((p.key, by_key[p.key]))
-    shape.children = [fold(ns, k) for k, ns in runs]
+                by_key.setdefault(p.key, []).append(p)
+    shape.children = [fold(ns, k) for k, ns in by_key.items()]
     return shape
 
 
-# A template node is [key, pages, hash or 0 (no text) or -1 (varies), children].
+class Layout:
+    """A node of a template."""
 
+    __slots__ = ("key", "pages", "text", "words", "single", "children")
+
+    def __init__(self, key: str, pages: int, text: int, words: int, single: bool):
+        #: text: the hash of what never changes, 0 if there is no text, -1 if it varies; single: once a page at most.
+        self.key, self.pages, self.text, self.words, self.single = key, pages, text, words, single
+        self.children: list[Layout] = []
+
+    @property
+    def tag(self) -> str:
+        return self.key.partition(".")[0]
+
+    def mass(self) -> int:
+        """Words of varying text outside links and parts that are never main text."""
+        if self.tag in OUT or self.tag == "a":
+            return 0
+        return self.words * (self.text == -1) + sum(c.mass() for c in self.children)
+
+    def varies(self) -> bool:
+        return self.text == -1 or any(c.varies() for c in self.children)
 
-def match(template: list, shape: Shape) -> tuple[int, list[tuple[list, Shape]]]:
-    """Simple tree matching: the number of matched nodes and the matched pairs, roots being equal."""
-    a, b = template[3], shape.children
-    if not a or not b:
-        return 1, [(template, shape)]
-    if len(a) == len(b) and all(x[0] == y.key for x, y in zip(a, b, strict=True)):  # the usual case: the same layout
-        inner = [match(x, y) for x, y in zip(a, b, strict=True)]
-        return 1 + sum(n for n, _ in inner), [(template, shape), *[p for _, ps in inner for p in ps]]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    inner = {}
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            w = 0
-            if x[0] == y.key:
-                inner[i, j] = match(x, y)
-                w = inner[i, j][0]
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + w)
-    pairs, i, j = [], len(a), len(b)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += inner[i, j][1]
-    return 1 + best[len(a)][len(b)], [(template, shape), *pairs]
-
-
-def as_template(shape: Shape) -> list:
-    return [shape.key, 1, shape.text_hash() or 0, [as_template(c) for c in shape.children]]
-
-
-class _Read(Shape):
-    """A template seen as a shape, to merge it into another."""
-
-    __slots__ = ("template",)
-
-    def __init__(self, template: list):
-        super().__init__(template[0], [])
-        self.template = template
-        self.children = [_Read(c) for c in template[3]]
-
-
-def merge(template: list, shape: Shape) -> None:
-    """Aligns a page's tree (or another template) and adds it: texts that differ make a slot, nodes without a partner are added."""
-    pairs = match(template, shape)[1]
-    partner = {id(s): t for t, s in pairs}
-    for t, s in pairs:
-        pages, text = (s.template[1], s.template[2]) if isinstance(s, _Read) else (1, s.text_hash() or 0)
-        t[1] += pages
-        if text != t[2]:
-            t[2] = -1
-        after = 0
-        for c in s.children:
-            if id(c) in partner:
-                after = next(i for i, x in enumerate(t[3]) if x is partner[id(c)]) + 1
-            else:
-                t[3].insert(after, c.template if isinstance(c, _Read) else as_template(c))
-                after += 1
 
+#: A template node as a row: hashes of its and its parent's path, extremes of its text's hash, and sums over the host's pages.
+ROW = "path long, up long, key string, pages long, low long, high long, words long, nodes long, place long"
 
-def host_of(url: str | None) -> str:
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return m[1].lower() if m else ""
 
+def rows_of(shape: Shape) -> Iterator[tuple]:
+    """A page's rows: (path, up, key, text, words, nodes, place)."""
+    stack = [(shape, 0, 0)]
+    while stack:
+        x, up, place = stack.pop()
+        path = xxhash.xxh64_intdigest(x.key.encode("utf-8", "surrogatepass"), up) >> 1
+        yield path, up, x.key, x.text, x.words, len(x.nodes), place
+        stack += [(c, path, i) for i, c in enumerate(x.children)]
 
-def mark_wrapper(template: list, root: Shape) -> None:
-    """Marks the page's nodes that align with texts which never change on the host. Without any varying text nothing is known."""
 
-    def varies(t: list) -> bool:
-        return t[2] == -1 or any(map(varies, t[3]))
+def as_template(rows: list) -> Layout | None:
+    """The tree of a host's rows (fields of ROW); children stand in the order of their mean places."""
+    known = {r[0]: Layout(r[2], r[3], r[4] if r[4] == r[5] else -1, r[6], r[7] <= r[3]) for r in rows}
+    root = None
+    for r in sorted(rows, key=lambda r: (r[8] / r[3], r[2])):
+        if r[1] == 0:
+            root = known[r[0]]
+        elif r[1] in known:
+            known[r[1]].children.append(known[r[0]])
+    return root
+
 
-    if not varies(template):
+def match(template: Layout, shape: Shape) -> tuple[int, list[tuple[Layout, Shape]]]:
+    """Simple tree matching: the number of matched nodes and the matched pairs, roots being equal."""
+    a, b = template.children, shape.children
+    if not a or not b:
+        return 1, [(template, shape)]
+    if len(a) == len(b) and all(x.key == y.key for x, y in zip(a, b, strict=True)):  # the usual case: the same layout
+        inner = [match(x, y) for x, y in zip(a, b, strict=True)]
+        return 1 + sum(n for n, _ in inner), [(template, shape), *[p for _, ps in inner for p in ps]]
+    # keys are unique among siblings: only equal ones are tried
+    place = {y.key: j for j, y in enumerate(b)}
+    tried = [(i, place[x.key], *match(x, b[place[x.key]])) for i, x in enumerate(a) if x.key in place]
+    best: list[tuple[int, int]] = []  # of each tried pair: the most matched nodes of a sequence that ends with it, and the pair before
+    for k, (_, j, n, _) in enumerate(tried):
+        most, before = max(((best[q][0], q) for q in range(k) if tried[q][1] < j), default=(0, -1))
+        best.append((most + n, before))
+    k = max(range(len(best)), key=lambda q: best[q][0], default=-1)
+    total, pairs = best[k][0] if best else 0, []
+    while k >= 0:
+        pairs += tried[k][3]
+        k = best[k][1]
+    return 1 + total, [(template, shape), *pairs]
+
+
+def content_node(template: Layout) -> Layout | None:
+    """The innermost container that holds SHARE of the varying text; None if that is the page."""
+    whole, x = template.mass(), template
+    while whole:
+        most = max(x.children, key=Layout.mass, default=None)
+        if most is None or most.tag not in CONTAINERS or not most.single or most.mass() < SHARE * whole:
+            break
+        x = most
+    return x if x is not template and x.tag != "body" else None
+
+
+def _said(x: Node) -> int:
+    """Words outside links and parts that are never main text by their tags."""
+    return 0 if x.tag in OUT or x.tag == "a" else sum(len(p.split()) if isinstance(p, str) else _said(p) for p in x.parts)
+
+
+def mark_wrapper(template: Layout, content: Layout | None, root: Shape) -> None:
+    """Marks the page's nodes by the template: texts that never change on the host, and what stands beside the content. Without any varying text nothing is known."""
+    if not template.varies():
         return
     pairs = match(template, root)[1]
+    partner = {id(s): t for t, s in pairs}
     for t, s in pairs:
-        if t[1] >= LEAST_PAGES and t[2] not in (0, -1) and s.text_hash() == t[2]:
+        if t.pages >= LEAST_PAGES and t.text not in (0, -1) and s.text == t.text:
             for x in s.nodes:
                 x.wrapper = True
 
-    def same(t: list, s: Shape) -> bool:
-        if t[2] == -1 or (t[2] and t[1] < LEAST_PAGES) or (s.text_hash() or 0) != t[2]:
-            return False
-        return all(id(c) in partner and same(partner[id(c)], c) for c in s.children)
+    def same(t: Layout, s: Shape) -> bool:
+        return t.text != -1 and s.text == t.text and all(id(c) in partner and same(partner[id(c)], c) for c in s.children)
 
     def says(s: Shape) -> bool:
-        return s.text_hash() is not None or any(map(says, s.children))
+        return s.text != 0 or any(map(says, s.children))
 
-    partner = {id(s): t for t, s in pairs}
     for t, s in pairs:
         for c in s.children:
-            if c.nodes[0].tag in PARTS and id(c) in partner and says(c) and same(partner[id(c)], c) and varies(t):
+            if c.nodes[0].tag in PARTS and id(c) in partner and says(c) and same(partner[id(c)], c) and t.varies():
                 for x in c.nodes:
                     x.fixed = True
 
+    here = [s.nodes[0] for t, s in pairs if t is content and len(s.nodes) == 1]
+    if here and _said(here[0]) >= HERE * _said(root.nodes[0]):
+        x = y = here[0]
+        while y := y.up:  # an article that holds it says how far the content goes
+            if y.main:
+                x = y
+        while x.up:
+            for p in x.up.parts:
+                if isinstance(p, Node) and p is not x and p.tag not in HEADINGS:
+                    p.beside = True
+            x = x.up
+
 
 def main_text(root: Node) -> str:
     """The main text's blocks: of the parts that say they are the article, else of all that is left."""
@@ -294,7 +329,7 @@ def main_text(root: Node) -> str:
     def seek(x: Node, tags: tuple[str, ...] | None, through: bool = False) -> list[Node]:
         found: list[Node] = []
         for p in x.parts:
-            if isinstance(p, Node) and (not p.out or through and p.holds):
+            if isinstance(p, Node) and not p.beside and (not p.out or through and p.holds):
                 found += [p] if p.main and (tags is None or p.tag in tags) else seek(p, tags, through)
         return found
 
@@ -315,7 +350,7 @@ def _text_of(parts: list[Node], within: bool) -> str:
     blocks: list[list[str]] = [[]]
 
     def walk(x: Node, inside: bool) -> None:
-        if x.out:
+        if x.out or x.beside:
             return
         if x.tag == "header":
             if not inside:
@@ -364,84 +399,82 @@ def _link_list(x: Node) -> bool:
     return links[0] >= 2 and size[1] > 0 and 4 * size[0] <= size[1]
 
 
-def extract(page: str | None, template: list | None) -> str:
+def extract(page: str | None, template: Layout | None, content: Layout | None = None) -> str:
     if not page:
         return ""
     root = parse(page)
     if template:
-        mark_wrapper(template, fold([root], root.key))
+        mark_wrapper(template, content, fold([root], root.key))
     return main_text(root)
 
 
+def host_of(url: Column) -> Column:
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): JSON of each host's template. pages: url, html."""
+    """(host, nodes): each host's template as an array of ROW. pages: host, html."""
 
     def by_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
+        found: dict[tuple, list] = {}
         for b in batches:
-            for url, page in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
+            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 if page:
                     root = parse(page)
-                    shape = fold([root], root.key)
-                    host = host_of(url)
-                    if host in found:
-                        merge(found[host], shape)
-                    else:
-                        found[host] = as_template(shape)
-            if len(found) > 20_000:  # many hosts: hand them on
+                    for path, up, key, text, words, nodes, place in rows_of(fold([root], root.key)):
+                        x = found.get((host, path))
+                        if x is None:
+                            found[host, path] = [up, key, 1, text, text, words, nodes, place]
+                        else:
+                            x[2] += 1
+                            x[3], x[4] = min(x[3], text), max(x[4], text)
+                            x[5], x[6], x[7] = x[5] + words, x[6] + nodes, x[7] + place
+            if len(found) > 50_000:  # many layouts: hand them on
                 yield _rows(found)
                 found = {}
         yield _rows(found)
 
-    def by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, template = None, None
-        for b in batches:
-            for h, t in zip(b.column("host").to_pylist(), b.column("template").to_pylist(), strict=True):
-                t = json.loads(t)
-                if h == host:
-                    merge(template, _Read(t))
-                else:
-                    if template:
-                        yield _rows({host: template})
-                    host, template = h, t
-        if template:
-            yield _rows({host: template})
-
-    parts = pages.select("url", "html").mapInArrow(tidy(by_task), "host string, template string")
-    return parts.repartition(shuffles(pages.sparkSession), "host").sortWithinPartitions("host", "template").mapInArrow(tidy(by_host), "host string, template string")
+    parts = pages.select("host", "html").mapInArrow(tidy(by_task), f"host string, {ROW}")
+    sums = [F.sum(c).alias(c) for c in ("pages", "words", "nodes", "place")]
+    # by host and node; a node's key and parent follow from its path
+    merged = durable(parts.groupBy("host", "path").agg(F.min("up").alias("up"), F.min("key").alias("key"), F.min("low").alias("low"), F.max("high").alias("high"), *sums).filter(F.col("pages") >= LEAST_PAGES))
+    whole = merged.filter("up = 0").select("host", F.col("pages").alias("all"))
+    kept = merged.join(whole, "host").filter(F.col("pages") * SUPPORT >= F.col("all"))
+    return kept.groupBy("host").agg(F.collect_list(F.struct(*[x.split()[0] for x in ROW.split(", ")])).alias("nodes"))
 
 
-def _rows(found: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([json.dumps(t) for t in found.values()], pa.string())], ["host", "template"])
+def _rows(found: dict[tuple, list]) -> pa.RecordBatch:
+    up, key, pages, low, high, words, nodes, place = zip(*found.values(), strict=True) if found else [()] * 8
+    long = [pa.array(x, pa.int64()) for x in ([p for _, p in found], up, pages, low, high, words, nodes, place)]
+    return pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), long[0], long[1], pa.array(key, pa.string()), *long[2:]], ["host", *[x.split()[0] for x in ROW.split(", ")]])
 
 
 def extract_text(pages: DataFrame, most_bytes: int = TEMPLATE_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages (page_id, url, html)."""
     spark = pages.sparkSession
     bound_batches(spark)
-    pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    url = F.col("url").cast("string")
+    pages = pages.select("page_id", url.alias("url"), F.col("html").cast("string").alias("html"), host_of(url).alias("host"))
     known = durable(templates(pages))
-    size = known.agg(F.sum(F.length("template") + F.length("host"))).first()[0] or 0
-    shared = spark.sparkContext.broadcast({r.host: r.template for r in known.collect()}) if size <= most_bytes else None
+    size = known.agg(F.sum(F.length("host") + 64 * F.size("nodes") + F.aggregate("nodes", F.lit(0), lambda n, x: n + F.length(x["key"])))).first()[0] or 0
+    shared = spark.sparkContext.broadcast({r.host: [tuple(x) for x in r.nodes] for r in known.collect()}) if size <= most_bytes else None
     page_type = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read_: dict[str, list] = {}
+        read_: dict[str, tuple] = {}
         for b in batches:
-            urls, texts = b.column("url").to_pylist(), []
-            own = b.column("template").to_pylist() if shared is None else [shared.value.get(host_of(u)) for u in urls]
-            for page, t in zip(b.column("html").to_pylist(), own, strict=True):
-                if t is not None and t not in read_:
+            hosts, texts = b.column("host").to_pylist(), []
+            for i, (host, page) in enumerate(zip(hosts, b.column("html").to_pylist(), strict=True)):
+                if host not in read_:
                     if len(read_) > 500:
                         read_.clear()
-                    read_[t] = json.loads(t)
-                texts.append(extract(page, read_.get(t)))
+                    rows = shared.value.get(host) if shared else [tuple(x.values()) for x in b.column("nodes")[i].as_py() or []]
+                    template = as_template(rows) if rows else None
+                    read_[host] = template, template and content_node(template)
+                texts.append(extract(page, *read_[host]))
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    source = pages
-    if shared is None:
-        name = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-        source = pages.withColumn("host", name).join(known, "host", "left").select("page_id", "url", "html", "template")
+    source = pages if shared else pages.join(known, "host", "left")
     return source.mapInArrow(tidy(run), f"page_id {page_type}, url string, text string, n_chars long")
 
 
