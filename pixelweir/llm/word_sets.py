@@ -39,7 +39,9 @@ LEAST = (4, 5)
 SAMPLE, FREQUENT = 20_000, 4
 SLICE = 512 << 10
 #: Rounds in which the members of a key are compared with one of them, before all pairs that are left.
-STARS = 3
+STARS = 2
+#: Steps over links by which sets are known to belong together between the rounds; components are settled at the end.
+STEPS = 3
 #: Parity bits of a set at least; larger sets have as many as shingles, up to the next power of two.
 BITS = 512
 
@@ -209,6 +211,15 @@ def verified(pairs: DataFrame, keyed: DataFrame, best: DataFrame) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long")
 
 
+def nearby(links: DataFrame) -> DataFrame:
+    """(s, l): for each linked set, a small one within STEPS links. Equal labels mean one component; unequal ones mean nothing."""
+    both = links.select(F.col("a").alias("s"), F.col("b").alias("o")).union(links.select("b", "a"))
+    label = both.groupBy("s").agg(F.min("o").alias("l")).select("s", F.least("s", "l").alias("l"))
+    for _ in range(STEPS - 1):
+        label = both.join(label.withColumnRenamed("s", "o"), "o").groupBy("s").agg(F.min("l").alias("l")).select("s", F.least("s", "l").alias("l"))
+    return label
+
+
 def groups(keyed: DataFrame, texts: DataFrame, best: DataFrame) -> DataFrame:
     """(s, label): for each set that has a similar one, the smallest digest reachable. texts: text, a row for each set; keyed, best: as in `verified`, best with n and p too."""
     sketches = best.select("s", "n", "p")
@@ -225,13 +236,12 @@ def groups(keyed: DataFrame, texts: DataFrame, best: DataFrame) -> DataFrame:
             pairs = one.join(other, "key").filter("sa < sb")
         pairs = pairs.filter("la <> lb").filter(allowed("na", "ia", "nb", "ib")).select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b")).distinct()
         links = durable(links.union(verified(durable(possible(pairs, sketches)), keyed, best)))
-        label = components(links)
         if k < STARS:
-            labelled = rows.join(label.withColumnRenamed("node", "s"), "s", "left").select("key", "s", "n", "i", F.coalesce("label", "s").alias("l"))
+            labelled = durable(rows.join(nearby(links), "s", "left").select("key", "s", "n", "i", F.coalesce("l", "s").alias("l")))
             # keys whose members are joined already, or are two that were compared, need nothing more
             more = labelled.groupBy("key").agg(F.min("l").alias("x"), F.max("l").alias("y"), F.count("*").alias("c")).filter("x < y AND c > 2").select("key")
             mixed = durable(labelled.join(more, "key"))
-    return label.select(F.col("node").alias("s"), "label")
+    return components(links).select(F.col("node").alias("s"), "label")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
