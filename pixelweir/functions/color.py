@@ -167,3 +167,13 @@ def luma(r: Column, g: Column, b: Column) -> Column:
 def sigmoid(x: Column) -> Column:
     e = F.exp(-F.abs(x))
     return F.when(x >= 0, 1.0 / (1.0 + e)).otherwise(e / (1.0 + e))
+
+
+def luminance(h: Column) -> Column:
+    """Relative luminance of #rrggbb by the web accessibility guidelines."""
+
+    def linear(c: Column) -> Column:
+        return F.when(c <= 0.03928, c / F.lit(12.92)).otherwise(F.pow((c + 0.055) / F.lit(1.055), F.lit(2.4)))
+
+    r, g, b = map(linear, unit_rgb(h))
+    return 0.2126 * r + 0.7152 * g + 0.0722 * b

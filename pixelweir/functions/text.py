@@ -103,3 +103,39 @@ def bezier(p: tuple[Column, ...], u: Column) -> Column:
     """One coordinate of a cubic Bézier curve."""
     v = 1.0 - u
     return v * v * v * p[0] + 3.0 * v * v * u * p[1] + 3.0 * v * u * u * p[2] + u * u * u * p[3]
+
+
+def typed_hex(value: Column) -> Column:
+    """A typed colour ('#ABC', 'abc123', ' #AbC123 ') as #rrggbb, else null."""
+    bare = F.regexp_replace(F.lower(F.trim(value)), "^#", "")
+    whole = F.when(bare.rlike("^[0-9a-f]{3}$"), F.regexp_replace(bare, "(.)", "$1$1")).otherwise(bare)
+    return F.when(whole.rlike("^[0-9a-f]{6}$"), F.concat(F.lit("#"), whole))
+
+
+#: Decimals of the metrics' labels.
+METRIC_DECIMALS = {"ssim": 3, "alpha_iou": 3, "mean_delta_e": 2, "max_delta_e": 2, "gap_ratio": 5, "processing_time_s": 2}
+
+
+def metric_label(name: Column, value: Column) -> Column:
+    out = F.when(name == "svg_valid", F.when(value >= 1, "yes").otherwise("no"))
+    for metric, n in METRIC_DECIMALS.items():
+        out = out.when(name == metric, F.concat(F.format_string(f"%.{n}f", value), F.lit(" s" if metric.endswith("_s") else "")))
+    return out
+
+
+#: Media types by extension, and those accepted if nothing else is set.
+MEDIA_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg"}
+ACCEPTED = ("image/png", "image/jpeg")
+
+
+def media_type(name: Column, said: Column) -> Column:
+    """What the browser says, else by the extension; empty if neither is known."""
+    end = F.lower(F.element_at(F.split(name, r"\."), -1))
+    by_end = F.lit("")
+    for ext, kind in MEDIA_TYPES.items():
+        by_end = F.when(end == ext, kind).otherwise(by_end)
+    return F.when(F.coalesce(said, F.lit("")) != "", said).otherwise(by_end)
+
+
+def accepted(kind: Column, types: tuple[str, ...] = ACCEPTED) -> Column:
+    return kind.isin(*types)

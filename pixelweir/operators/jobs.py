@@ -89,3 +89,19 @@ def needs_lines(label: Column, line_mode: Column) -> Column:
 
 def error_detail(code: Column, message: Column, stage: Column) -> Column:
     return F.struct(F.coalesce(code, F.lit("internal_error")).alias("code"), message.alias("message"), stage.alias("stage"))
+
+
+#: Milliseconds before the first poll, at most between polls, and the factor from one to the next.
+FIRST_MS, MOST_MS, FACTOR = 300, 2000, 1.5
+
+
+def poll_delay(k: Column) -> Column:
+    """The k-th delay (1 is the first): each is the last one times FACTOR, rounded, within bounds. The bounds are met after few steps."""
+    delays = [FIRST_MS]
+    while delays[-1] < MOST_MS:
+        delays.append(min(MOST_MS, max(FIRST_MS, int(delays[-1] * FACTOR + 0.5))))
+    return F.get(F.array(*[F.lit(d) for d in delays]), F.least(k.cast("int"), F.lit(len(delays))) - 1)
+
+
+def is_final(status: Column) -> Column:
+    return status.isin("succeeded", "failed")

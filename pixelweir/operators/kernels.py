@@ -62,7 +62,7 @@ def component_ids(y: np.ndarray, x: np.ndarray, labels: np.ndarray, diagonal: bo
     return (ids // grid.shape[1] << 20 | ids % grid.shape[1])[y, x]
 
 
-def distance_to_edge(mask: np.ndarray) -> np.ndarray:
+def edge_distances(mask: np.ndarray) -> np.ndarray:
     """Exact Euclidean distance of set pixels to the nearest unset one; what lies beyond the image is unset.
 
     Distances along columns first, then the lower envelope of parabolas along each row.
@@ -104,23 +104,30 @@ def _envelope(f: np.ndarray) -> np.ndarray:
 
 
 def nearest_seed(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(y, x) of each pixel's nearest seed by Euclidean distance, the first in raster order of equals."""
-    ys, xs = np.nonzero(seeds)
+    """(y, x) of each pixel's nearest seed by Euclidean distance, the first in raster order of equals.
+
+    Each column's nearest seed comes first; then columns further and further away are tried, for those pixels only whose
+    best distance so far they can still reach. Distance and seed are one integer, so that ties go to the smaller place.
+    """
     h, w = seeds.shape
-    if not len(ys):
+    if not seeds.any():
         raise ValueError("no seed")
-    best = np.full((h, w), np.inf)
-    at = np.zeros((h, w), np.int64)
-    gx = np.arange(w)
-    for y in range(h):
-        # seeds of a chunk against one line of pixels
-        for k in range(0, len(ys), 4096):
-            d = (ys[k : k + 4096, None] - y) ** 2 + (xs[k : k + 4096, None] - gx[None, :]) ** 2
-            i = d.argmin(axis=0)
-            v = d[i, gx]
-            closer = v < best[y]
-            best[y, closer], at[y, closer] = v[closer], i[closer] + k
-    return ys[at], xs[at]
+    line, column = np.arange(h)[:, None], np.arange(w)
+    above = np.maximum.accumulate(np.where(seeds, line, -4 * h), axis=0)
+    below = np.minimum.accumulate(np.where(seeds, line, 5 * h)[::-1], axis=0)[::-1]
+    y = np.where(line - above <= below - line, above, below)
+    own = np.where((y >= 0) & (y < h), (y - line) ** 2 * (h * w) + y * w + column, 1 << 62).astype(np.int64)
+    best = own.copy().ravel()
+    live, d = np.flatnonzero(~seeds.ravel()), 1
+    while len(live) and d < w:
+        x = live % w
+        for step in (-d, d):
+            there = live[(x + step >= 0) & (x + step < w)]
+            best[there] = np.minimum(best[there], own.ravel()[there + step] + d * d * h * w)
+        d += 1
+        live = live[best[live] // (h * w) >= d * d]
+    at = best.reshape(h, w) % (h * w)
+    return at // w, at % w
 
 
 def fill_unknown(labels: np.ndarray, unknown: int = -1) -> np.ndarray:
@@ -158,7 +165,7 @@ def thin(mask: np.ndarray) -> np.ndarray:
             return m[1:-1, 1:-1]
 
 
-def prune_spurs(skeleton: np.ndarray, width: np.ndarray, factor: float = 1.5) -> np.ndarray:
+def cut_short_ends(skeleton: np.ndarray, width: np.ndarray, factor: float = 1.5) -> np.ndarray:
     """Drops branches from an end to a junction that are shorter than factor times the line's width there."""
     out = skeleton.copy()
     for y, x in zip(*np.nonzero(skeleton), strict=True):
@@ -459,17 +466,17 @@ def near_seed(seeds: np.ndarray, reach: float) -> np.ndarray:
 
 def remove_wide(mask: np.ndarray, most_width: float) -> np.ndarray:
     """The mask without the parts that are wider than most_width."""
-    deep = distance_to_edge(mask) > most_width / 2
+    deep = edge_distances(mask) > most_width / 2
     return mask & ~near_seed(deep, math.ceil(most_width / 2) + 1)
 
 
-def remove_specks(mask: np.ndarray, least_area: int) -> np.ndarray:
+def drop_small_marks(mask: np.ndarray, least_area: int) -> np.ndarray:
     """The mask without eight-connected parts under least_area."""
     ids = label_components(mask.astype(np.int64), diagonal=True)
     return mask & (np.bincount(ids.ravel(), minlength=mask.size)[ids] >= least_area)
 
 
-def bridge_gaps(mask: np.ndarray, skeleton: np.ndarray, gap: float) -> tuple[np.ndarray, int]:
+def join_near_ends(mask: np.ndarray, skeleton: np.ndarray, gap: float) -> tuple[np.ndarray, int]:
     """Joins line ends to the nearest other part of the mask within gap by a straight line of pixels; parts that are joined already aren't joined again. Ends go in raster order."""
     out, ids = mask.copy(), label_components(mask.astype(np.int64), diagonal=True)
     up: dict[int, int] = {}

@@ -225,7 +225,7 @@ c{i + 1} AS (SELECT c.cluster, coalesce(s.e0, c.e0) AS e0, coalesce(s.e1, c.e1)
     "blend_triples": q(
         f"SELECT {b('image_id', 'c', 'a', 'b')}, {r6('t', 'de')} FROM (SELECT *, sqrt(pow(l1-l2,2)+pow(a1-a2,2)+pow(b1-b2,2)) AS de FROM m2) WHERE de < 6",
         _HIST,
-        "tp AS (SELECT image_id, rank - 1 AS idx, (code >> 16)::DOUBLE AS r, ((code >> 8) & 255)::DOUBLE AS g, (code & 255)::DOUBLE AS b FROM hist WHERE rank <= 8)",
+        "tp AS (SELECT image_id, rank - 1 AS idx, (code >> 16)::DOUBLE AS r, ((code >> 8) & 255)::DOUBLE AS g, (code & 255)::DOUBLE AS b FROM hist)",
         """t3 AS (SELECT c.image_id, c.idx AS c, a.idx AS a, x.idx AS b, c.r AS cr, c.g AS cg, c.b AS cb, x.r AS br, x.g AS bg_, x.b AS bb, a.r-x.r AS sr, a.g-x.g AS sg, a.b-x.b AS sb
  FROM tp c JOIN tp a ON a.image_id = c.image_id AND a.idx <> c.idx JOIN tp x ON x.image_id = c.image_id AND a.idx < x.idx AND x.idx <> c.idx)""",
         "t4 AS (SELECT *, ((cr-br)*sr+(cg-bg_)*sg+(cb-bb)*sb)/(sr*sr+sg*sg+sb*sb) AS t FROM t3 WHERE sr*sr+sg*sg+sb*sb > 0)",
@@ -412,4 +412,26 @@ SELECT event_id, coalesce(want, -1) AS want, coalesce(abs(got - want) <= greates
 CASE WHEN doc_id % 4 > 1 THEN 'unsupported_media_type' WHEN n_chars::BIGINT * 10000 > 36000000 THEN 'too_many_pixels' ELSE 'ok' END AS error FROM documents""",
     "upload_names": """WITH n AS (SELECT page_id, coalesce(nullif(left(trim(regexp_extract(url, '[^/]*$')), 200), ''), 'upload') AS name FROM pages)
 SELECT page_id, name, regexp_replace(name, '\\.[^.]*$', '') || '.svg' AS svg, regexp_replace(name, '\\.[^.]*$', '') || '_preview.png' AS preview, '/jobs/' || page_id || '/files/eps' AS link FROM n""",
+    "typed_colours": """WITH n AS (SELECT event_id, printf('%06X', (event_id * 7919) % 16777216) AS six, printf('%03X', (event_id * 7919) % 16777216 % 4096) AS three FROM events),
+t AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '#' || six WHEN 1 THEN three WHEN 2 THEN ' #' || lower(three) || ' ' WHEN 3 THEN six || 'z' ELSE left(six, 4) END AS typed FROM n),
+u AS (SELECT *, ltrim(lower(trim(typed)), '#') AS v FROM t),
+w AS (SELECT *, CASE WHEN regexp_full_match(v, '[0-9a-f]{6}') THEN '#' || v WHEN regexp_full_match(v, '[0-9a-f]{3}') THEN '#' || v[1] || v[1] || v[2] || v[2] || v[3] || v[3] END AS hex FROM u),
+c AS (SELECT *, CAST('0x' || hex[2:3] AS INT) / 255.0::DOUBLE AS r, CAST('0x' || hex[4:5] AS INT) / 255.0::DOUBLE AS g, CAST('0x' || hex[6:7] AS INT) / 255.0::DOUBLE AS b FROM w)
+SELECT event_id, typed, hex, round(0.2126::DOUBLE * CASE WHEN r <= 0.03928 THEN r / 12.92::DOUBLE ELSE pow((r + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END
+ + 0.7152::DOUBLE * CASE WHEN g <= 0.03928 THEN g / 12.92::DOUBLE ELSE pow((g + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END
+ + 0.0722::DOUBLE * CASE WHEN b <= 0.03928 THEN b / 12.92::DOUBLE ELSE pow((b + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END, 6) AS luminance FROM c""",
+    "poll_schedule": f"""WITH RECURSIVE {_LOG}, d(k, ms) AS (SELECT 1, 300 UNION ALL SELECT k + 1, CAST(least(2000, greatest(300, floor(ms * 1.5 + 0.5))) AS INT) FROM d WHERE ms < 2000),
+n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS k FROM log)
+SELECT event_id, job_id, n.k, status IN ('succeeded', 'failed') AS final, CAST(d.ms AS BIGINT) AS delay_ms FROM n JOIN d ON d.k = least(n.k, (SELECT max(k) FROM d))""",
+    "metric_labels": """WITH m AS (SELECT event_id, (['ssim','alpha_iou','mean_delta_e','max_delta_e','gap_ratio','processing_time_s','svg_valid'])[event_id % 7 + 1] AS name, (event_id % 4096) / 1024.0::DOUBLE + 1.0::DOUBLE / 1048576 AS v FROM events)
+SELECT event_id, name, CASE name WHEN 'ssim' THEN printf('%.3f', v) WHEN 'alpha_iou' THEN printf('%.3f', v) WHEN 'gap_ratio' THEN printf('%.5f', v) WHEN 'processing_time_s' THEN printf('%.2f s', v)
+ WHEN 'svg_valid' THEN CASE WHEN v >= 1 THEN 'yes' ELSE 'no' END ELSE printf('%.2f', v) END AS label FROM m""",
+    "media_types": """WITH f AS (SELECT event_id, 'scan' || user_id || (['.PNG','.jpg','.tar.jpeg','','.gif','.'])[event_id % 6 + 1] AS name, CASE event_id % 5 WHEN 0 THEN 'image/png' ELSE '' END AS said FROM events),
+k AS (SELECT *, CASE WHEN said <> '' THEN said ELSE CASE lower(regexp_extract(name, '[^.]*$')) WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' ELSE '' END END AS media_type FROM f)
+SELECT event_id, name, media_type, media_type IN ('image/png', 'image/jpeg') AS accepted FROM k""",
+    "layer_constraint_violations": q(
+        f"SELECT {b('image_id', 'idx')}, bad_hex, bad_stroke, whole_canvas FROM v WHERE bad_hex OR bad_stroke OR whole_canvas",
+        _TABLE,
+        "v AS (SELECT image_id, idx, CASE WHEN idx % 3 = 1 THEN upper(hex) ELSE hex END <> hex AS bad_hex, (idx % 3 = 2) <> (idx % 2 = 0) AS bad_stroke, n = 500 AS whole_canvas FROM tb)",
+    ),
 }

@@ -106,7 +106,7 @@ def distances(px: DataFrame, mask) -> DataFrame:
     """(image_id, y, x, d): set pixels' distance to the nearest unset one."""
 
     def run(pdf):
-        d = kernels.distance_to_edge(_grid(pdf, "m")[0].astype(bool))
+        d = kernels.edge_distances(_grid(pdf, "m")[0].astype(bool))
         return pdf[["image_id", "y", "x"]].assign(d=d[pdf["y"], pdf["x"]])[pdf["m"].to_numpy().astype(bool)]
 
     return _by_image(px.select("image_id", "y", "x", mask.alias("m")), run, "image_id long, y int, x int, d double")
@@ -117,8 +117,8 @@ def skeleton(px: DataFrame, mask) -> DataFrame:
 
     def run(pdf):
         m = _grid(pdf, "m")[0].astype(bool)
-        width = 2 * kernels.distance_to_edge(m)
-        y, x = np.nonzero(kernels.prune_spurs(kernels.thin(m), width))
+        width = 2 * kernels.edge_distances(m)
+        y, x = np.nonzero(kernels.cut_short_ends(kernels.thin(m), width))
         return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "y": y.astype(np.int32), "x": x.astype(np.int32), "width": width[y, x]})
 
     return _by_image(px.select("image_id", "y", "x", mask.alias("m")), run, "image_id long, y int, x int, width double")
@@ -129,9 +129,9 @@ def centerlines(px: DataFrame, mask, tolerance: float = 0.8) -> DataFrame:
 
     def run(pdf):
         m = _grid(pdf, "m")[0].astype(bool)
-        width = 2 * kernels.distance_to_edge(m)
+        width = 2 * kernels.edge_distances(m)
         rows = []
-        for k, line in enumerate(kernels.chains(kernels.prune_spurs(kernels.thin(m), width))):
+        for k, line in enumerate(kernels.chains(kernels.cut_short_ends(kernels.thin(m), width))):
             cells = (line - 0.5).astype(int)
             w = max(0.5, float(np.rint(np.median(width[cells[:, 1], cells[:, 0]]) / 0.5) * 0.5))
             words = ["M" + " ".join(kernels.number(v) for v in line[0])]

@@ -255,9 +255,8 @@ def kmeans_fixed_iters(spark: SparkSession, sf: str) -> DataFrame:
 
 @on_raster
 def blend_triples(px: DataFrame) -> DataFrame:
-    """Of the most common distinct colours (eight), those near a blend of two others."""
-    top = palette.histogram(px).filter("rank <= 8")
-    c = top.select("image_id", (F.col("rank") - 1).cast("int").alias("idx"), F.shiftright("code", 16).cast("int").alias("r"), F.shiftright("code", 8).bitwiseAND(255).cast("int").alias("g"), F.col("code").bitwiseAND(255).cast("int").alias("b"))
+    """Of an image's distinct colours, those near a blend of two others."""
+    c = palette.histogram(px).select("image_id", (F.col("rank") - 1).cast("int").alias("idx"), F.shiftright("code", 16).cast("int").alias("r"), F.shiftright("code", 8).bitwiseAND(255).cast("int").alias("g"), F.col("code").bitwiseAND(255).cast("int").alias("b"))
     return big(palette.blends(c), "t", "de")
 
 
@@ -727,3 +726,56 @@ def upload_names(spark: SparkSession, sf: str) -> DataFrame:
     """Safe names of pages' addresses, and what their files would be downloaded and linked as."""
     p = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", text.safe_filename(F.col("url")).alias("name"))
     return big(p.select("page_id", "name", text.download_name(F.col("name"), F.lit("svg")).alias("svg"), text.download_name(F.col("name"), F.lit("preview")).alias("preview"), text.file_url(F.col("page_id").cast("string"), F.lit("eps")).alias("link")))
+
+
+@query
+def typed_colours(spark: SparkSession, sf: str) -> DataFrame:
+    """Colours as people type them, as #rrggbb or null, with the luminance that chooses readable text over them."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    n = F.pmod(F.col("event_id") * 7919, F.lit(1 << 24))
+    long, short = F.lpad(F.upper(F.hex(n)), 6, "0"), F.lpad(F.hex(F.pmod(n, F.lit(4096))), 3, "0")
+    typed = F.element_at(F.array(F.concat(F.lit("#"), long), short, F.concat(F.lit(" #"), F.lower(short), F.lit(" ")), F.concat(long, F.lit("z")), F.substring(long, 1, 4)), (F.col("event_id") % 5 + 1).cast("int"))
+    out = e.select("event_id", typed.alias("typed")).withColumn("hex", text.typed_hex(F.col("typed")))
+    return big(out.withColumn("luminance", color.luminance(F.col("hex"))), "luminance")
+
+
+@query
+def poll_schedule(spark: SparkSession, sf: str) -> DataFrame:
+    """The delay after each update of a job, and whether there is a next one."""
+    log = job_log(spark, sf)
+    k = F.row_number().over(Window.partitionBy("job_id").orderBy("ts", "event_id"))
+    out = log.withColumn("k", k).select("event_id", "job_id", "k", jobs.is_final(F.col("status")).alias("final"), jobs.poll_delay(F.col("k")).alias("delay_ms"))
+    return big(out)
+
+
+@query
+def metric_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics as reports print them, each with its own number of decimals."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    names = ("ssim", "alpha_iou", "mean_delta_e", "max_delta_e", "gap_ratio", "processing_time_s", "svg_valid")
+    name = F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("event_id") % 7 + 1).cast("int"))
+    value = (F.col("event_id") % 4096) / F.lit(1024.0) + F.lit(2.0**-20)
+    return e.select("event_id", name.alias("name"), value.alias("v")).select("event_id", "name", text.metric_label(F.col("name"), F.col("v")).alias("label"))
+
+
+@query
+def media_types(spark: SparkSession, sf: str) -> DataFrame:
+    """The type of an uploaded file: what the browser says, else by its extension; and whether it is accepted."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    ends = (".PNG", ".jpg", ".tar.jpeg", "", ".gif", ".")
+    name = F.concat(F.lit("scan"), F.col("user_id").cast("string"), F.element_at(F.array(*[F.lit(x) for x in ends]), (F.col("event_id") % 6 + 1).cast("int")))
+    said = F.when(F.col("event_id") % 5 == 0, "image/png").when(F.col("event_id") % 5 == 1, "").otherwise(F.lit(None))
+    kind = text.media_type(F.col("name"), F.col("said"))
+    return e.select("event_id", name.alias("name"), said.alias("said")).select("event_id", "name", kind.alias("media_type"), text.accepted(kind).alias("accepted"))
+
+
+@on_raster
+def layer_constraint_violations(px: DataFrame) -> DataFrame:
+    """Layers whose colour text isn't their colour, that have a stroke width without a stroke or the reverse, or that cover the whole canvas."""
+    t = table_of(px).select("image_id", "idx", "r", "g", "b", "hex", "n")
+    odd = F.col("idx") % 3
+    rows = t.select(
+        "image_id", "idx", "n", *rgb(), F.when(odd == 1, F.upper("hex")).otherwise(F.col("hex")).alias("hex"), (odd == 2).alias("is_stroke"), F.when(F.col("idx") % 2 == 0, F.lit(1.5)).alias("stroke_width")
+    )
+    bad_hex, bad_stroke = F.col("hex") != color.hex_of(*rgb()), F.col("is_stroke") != F.col("stroke_width").isNotNull()
+    return big(rows.select("image_id", "idx", bad_hex.alias("bad_hex"), bad_stroke.alias("bad_stroke"), (F.col("n") == H * W).alias("whole_canvas")).filter("bad_hex OR bad_stroke OR whole_canvas"))
