@@ -86,12 +86,29 @@ gaps AS (SELECT image_id, interior, gap, CASE WHEN interior > 0 THEN gap / inter
 _LAYERS = f"{_TABLE}, lay AS (SELECT image_id, label, r AS lr, g AS lg, b AS lb_ FROM tb WHERE label <> 5)"
 _REGION = f"""{_LAYERS}, {lab('px', 'pl')}, rm AS (SELECT image_id, label, count(*) AS n, quantile_cont(l, 0.5) AS ml, quantile_cont(la, 0.5) AS ma, quantile_cont(lb, 0.5) AS mb FROM pl WHERE a >= 128 GROUP BY ALL),
 {lab('lay', 'll', 'lr', 'lg', 'lb_', ('ol', 'oa', 'ob'))}, rj AS (SELECT rm.*, ol, oa, ob FROM rm JOIN ll USING (image_id, label)), {de2000('rj', 'rde', ('ol', 'oa', 'ob'), ('ml', 'ma', 'mb'))}"""
-_CHECKS = f"""{_GAPS}, {_REGION}, agg AS (SELECT image_id, avg(de) AS mean_de, max(de) AS max_de FROM rde GROUP BY ALL),
-rep AS (SELECT gaps.image_id, round(gap_ratio, 6) AS gap_ratio, round(iou, 6) AS iou, round(coalesce(mean_de, 0), 6) AS mean_de, round(coalesce(max_de, 0), 6) AS max_de, (gaps.image_id % 5)::DOUBLE AS time_s, (gaps.image_id % 3 <> 0) AS ok FROM gaps LEFT JOIN agg USING (image_id)),
+
+
+_WHITE = "({0}/255.0::DOUBLE*({1}/255.0::DOUBLE) + (1 - {1}/255.0::DOUBLE))"
+
+
+def _white(p: str = "") -> tuple[str, str, str]:
+    return tuple(_WHITE.format(f"{p}{c}", f"{p}a") for c in "rgb")
+
+
+def _gray(p: str = "") -> str:
+    r, g, bl = _white(p)
+    return f"(0.2125::DOUBLE*{r} + 0.7154::DOUBLE*{g} + 0.0721::DOUBLE*{bl})"
+
+
+_SSIM = f"""gp AS (SELECT px.image_id, px.y, px.x, {_gray('px.')} AS p, {_gray('rd.')} AS q FROM px JOIN rd USING (image_id, y, x)),
+sw AS (SELECT c.image_id, c.y, c.x, sum(n.p)/49 AS p, sum(n.q)/49 AS q, sum(n.p*n.p)/49 AS pp, sum(n.q*n.q)/49 AS qq, sum(n.p*n.q)/49 AS pq FROM gp c JOIN gp n ON n.image_id = c.image_id AND n.y BETWEEN c.y-3 AND c.y+3 AND n.x BETWEEN c.x-3 AND c.x+3 WHERE c.y BETWEEN 3 AND 16 AND c.x BETWEEN 3 AND 21 GROUP BY ALL)"""
+_SSIM_VALUE = "round(avg((2*p*q+0.0001::DOUBLE)*(2*(49.0::DOUBLE/48)*(pq-p*q)+0.0009::DOUBLE)/((p*p+q*q+0.0001::DOUBLE)*((49.0::DOUBLE/48)*(pp-p*p)+(49.0::DOUBLE/48)*(qq-q*q)+0.0009::DOUBLE))), 6)"
+_CHECKS = f"""{_SSIM}, {_GAPS}, {_REGION}, ssm AS (SELECT image_id, {_SSIM_VALUE} AS ssim FROM sw GROUP BY ALL), agg AS (SELECT image_id, avg(de) AS mean_de, max(de) AS max_de FROM rde GROUP BY ALL),
+rep AS (SELECT gaps.image_id, round(gap_ratio, 6) AS gap_ratio, round(iou, 6) AS iou, round(coalesce(mean_de, 0), 6) AS mean_de, round(coalesce(max_de, 0), 6) AS max_de, (gaps.image_id % 5)::DOUBLE AS time_s, (gaps.image_id % 3 <> 0) AS ok, ssim FROM gaps LEFT JOIN agg USING (image_id) JOIN ssm USING (image_id)),
 chk AS (SELECT image_id, 'mean_delta_e' AS name, mean_de AS value, 2.0::DOUBLE AS threshold, '<' AS comparator, mean_de < 2 AS passed FROM rep
  UNION ALL SELECT image_id, 'max_delta_e', max_de, 3.0, '<', max_de < 3 FROM rep UNION ALL SELECT image_id, 'gap_ratio', gap_ratio, 0.0005, '<=', gap_ratio <= 0.0005::DOUBLE FROM rep
  UNION ALL SELECT image_id, 'alpha_iou', iou, 0.98, '>=', iou >= 0.98::DOUBLE FROM rep UNION ALL SELECT image_id, 'processing_time_s', time_s, 2.0, '<', time_s < 2 FROM rep
- UNION ALL SELECT image_id, 'svg_valid', ok::INT::DOUBLE, 1.0, '>=', ok FROM rep)"""
+ UNION ALL SELECT image_id, 'svg_valid', ok::INT::DOUBLE, 1.0, '>=', ok FROM rep UNION ALL SELECT image_id, 'ssim', ssim, 0.90, '>=', ssim >= 0.90::DOUBLE FROM rep)"""
 _RECTS = """run0 AS (SELECT *, CASE WHEN lag(label) OVER w = label AND lag(x) OVER w = x - 1 THEN 0 ELSE 1 END AS f FROM {0} WINDOW w AS (PARTITION BY image_id, y ORDER BY x)),
 run1 AS (SELECT *, sum(f) OVER (PARTITION BY image_id, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS run FROM run0),
 run2 AS (SELECT image_id, y, label, run, min(x) AS x0, max(x) + 1 AS x1 FROM run1 GROUP BY ALL),
@@ -109,16 +126,6 @@ cc AS (SELECT p.image_id, p.y, p.x, p.label, cc0.comp FROM {0} p JOIN cc0 ON cc0
 cst AS (SELECT image_id, label, comp, count(*) AS area, min(y) AS y0, min(x) AS x0, max(y) AS y1, max(x) AS x1 FROM cc GROUP BY ALL)"""
 _PLAN = "{0}, plan AS (SELECT image_id, label, n, is_background, {1} AS is_line, row_number() OVER (PARTITION BY image_id ORDER BY {1}, NOT is_background, n DESC, label) - 1 AS z FROM tb)"
 _LUMA = "((CAST(r AS BIGINT)*4899 + g*9617 + b*1868 + 8192) >> 14)"
-_WHITE = "({0}/255.0::DOUBLE*({1}/255.0::DOUBLE) + (1 - {1}/255.0::DOUBLE))"
-
-
-def _white(p: str = "") -> tuple[str, str, str]:
-    return tuple(_WHITE.format(f"{p}{c}", f"{p}a") for c in "rgb")
-
-
-def _gray(p: str = "") -> str:
-    r, g, bl = _white(p)
-    return f"(0.2125::DOUBLE*{r} + 0.7154::DOUBLE*{g} + 0.0721::DOUBLE*{bl})"
 
 
 _LOG = """log AS (SELECT user_id AS job_id, event_id, epoch_us(ts) AS ts, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'running' END AS status,
@@ -152,8 +159,6 @@ ft AS (SELECT image_id, greatest(1/(1+exp(-(ink*0.35::DOUBLE-0.25::DOUBLE)/0.05:
  1/(1+exp(-(0.03::DOUBLE-dark*0.2::DOUBLE)/0.008::DOUBLE)) * sqrt(1/(1+exp(-((1-dark)-0.8::DOUBLE)/0.05::DOUBLE)) * (1/(1+exp(-(dark*1.2::DOUBLE-0.15::DOUBLE)/0.04::DOUBLE)))) * (1/(1+exp(-(ink*0.4::DOUBLE-0.25::DOUBLE)/0.05::DOUBLE))) * (1/(1+exp(-(0.3::DOUBLE-ink*0.4::DOUBLE)/0.05::DOUBLE))) AS ln,
  1/(1+exp(-(dark*0.06::DOUBLE-0.008::DOUBLE)/0.002::DOUBLE)) * (1/(1+exp(-(ink*0.5::DOUBLE-0.35::DOUBLE)/0.07::DOUBLE))) AS o FROM ik JOIN bins USING (image_id)),
 cs AS (SELECT image_id, g+(1-g)*(1-ln)*o AS p_mixed, (1-g)*ln AS p_line_art, (1-g)*(1-ln)*(1-o) AS p_flat_color FROM ft)"""
-_SSIM = f"""gp AS (SELECT px.image_id, px.y, px.x, {_gray('px.')} AS p, {_gray('rd.')} AS q FROM px JOIN rd USING (image_id, y, x)),
-sw AS (SELECT c.image_id, c.y, c.x, sum(n.p)/49 AS p, sum(n.q)/49 AS q, sum(n.p*n.p)/49 AS pp, sum(n.q*n.q)/49 AS qq, sum(n.p*n.q)/49 AS pq FROM gp c JOIN gp n ON n.image_id = c.image_id AND n.y BETWEEN c.y-3 AND c.y+3 AND n.x BETWEEN c.x-3 AND c.x+3 WHERE c.y BETWEEN 3 AND 16 AND c.x BETWEEN 3 AND 21 GROUP BY ALL)"""
 _INK = f"""op AS (SELECT * FROM px WHERE a >= 128), {lab('op', 'ol')}, iv AS (SELECT *, CAST(floor(l*2.55::DOUBLE) AS BIGINT) AS v FROM ol),
 i1 AS (SELECT image_id, v, count(*)::DOUBLE AS k FROM iv GROUP BY ALL),
 i2 AS (SELECT image_id, v, sum(k) OVER u AS n0, sum(k*v) OVER u AS s0, sum(k) OVER i AS n, sum(k*v) OVER i AS s FROM i1 WINDOW u AS (PARTITION BY image_id ORDER BY v ROWS UNBOUNDED PRECEDING), i AS (PARTITION BY image_id)),
@@ -295,7 +300,7 @@ UNION ALL SELECT image_id, 'unknown_label', count(*) FROM (SELECT DISTINCT image
         _TABLE,
     ),
     "class_scores": q(f"SELECT {b('image_id')}, {r6('p_mixed', 'p_line_art', 'p_flat_color')}, CASE WHEN p_flat_color >= greatest(p_mixed, p_line_art) THEN 'flat_color' WHEN p_line_art >= p_mixed THEN 'line_art' ELSE 'mixed' END AS label, round(greatest(p_mixed, p_line_art, p_flat_color), 6) AS confidence FROM cs", _CLASS),
-    "ssim_window": q(f"SELECT {b('image_id')}, round(avg((2*p*q+0.0001::DOUBLE)*(2*(49.0::DOUBLE/48)*(pq-p*q)+0.0009::DOUBLE)/((p*p+q*q+0.0001::DOUBLE)*((49.0::DOUBLE/48)*(pp-p*p)+(49.0::DOUBLE/48)*(qq-q*q)+0.0009::DOUBLE))), 6) AS ssim FROM sw GROUP BY ALL", _SSIM),
+    "ssim_window": q(f"SELECT {b('image_id')}, {_SSIM_VALUE} AS ssim FROM sw GROUP BY ALL", _SSIM),
     "area_resize": q(f"SELECT {b('image_id')}, CAST(y // 5 AS BIGINT) AS y, CAST(x // 5 AS BIGINT) AS x, round(avg(r), 6) AS r, round(avg(g), 6) AS g, round(avg(b), 6) AS b, round(avg(a), 6) AS a FROM px GROUP BY image_id, y // 5, x // 5"),
     "nearest_resize": q(f"SELECT {b('image_id', 'ty AS y', 'tx AS x', 'label')} FROM px JOIN (SELECT range AS ty FROM range(32)) ON y = CAST(floor((ty + 0.5::DOUBLE)*20/32) AS BIGINT) JOIN (SELECT range AS tx FROM range(40)) ON x = CAST(floor((tx + 0.5::DOUBLE)*25/40) AS BIGINT)"),
     "morphological_opening": q(

@@ -381,7 +381,7 @@ def _reports(px: DataFrame) -> DataFrame:
     de = quality.region_delta_e(px, layers_of(px)).groupBy("image_id").agg(F.avg("delta_e").alias("mean_de"), F.max("delta_e").alias("max_de"))
     gap = quality.gaps(quality.pair(px, raster.rendered(px)))
     out = gap.join(de, "image_id", "left").select("image_id", F.round("gap_ratio", 6).alias("gap_ratio"), F.round("iou", 6).alias("iou"), F.round(F.coalesce("mean_de", F.lit(0.0)), 6).alias("mean_de"), F.round(F.coalesce("max_de", F.lit(0.0)), 6).alias("max_de"))
-    return out.withColumns({"ssim": F.lit(None).cast("double"), "ssim_min": F.lit(quality.SSIM_MIN["flat_color"]), "time_s": (F.col("image_id") % 5).cast("double"), "budget_s": text.time_budget(F.lit(W), F.lit(H)), "svg_ok": F.col("image_id") % 3 != 0})
+    return out.join(_ssim(px), "image_id").withColumns({"ssim": F.round("ssim", 6), "ssim_min": F.lit(quality.SSIM_MIN["flat_color"]), "time_s": (F.col("image_id") % 5).cast("double"), "budget_s": text.time_budget(F.lit(W), F.lit(H)), "svg_ok": F.col("image_id") % 3 != 0})
 
 
 @on_raster
@@ -432,11 +432,14 @@ def class_scores(px: DataFrame) -> DataFrame:
     return big(quality.class_scores(f), "p_mixed", "p_line_art", "p_flat_color", "confidence")
 
 
+def _ssim(px: DataFrame) -> DataFrame:
+    gray = lambda d, n: d.select("image_id", "y", "x", color.gray_over_white(*rgb(), F.col("a")).alias(n))
+    return grid.ssim(gray(px, "p").join(gray(raster.rendered(px), "q"), ["image_id", "y", "x"]), W, H)
+
+
 @on_raster
 def ssim_window(px: DataFrame) -> DataFrame:
-    other = raster.rendered(px)
-    gray = lambda d, n: d.select("image_id", "y", "x", color.gray_over_white(*rgb(), F.col("a")).alias(n))
-    return big(grid.ssim(gray(px, "p").join(gray(other, "q"), ["image_id", "y", "x"]), W, H), "ssim")
+    return big(_ssim(px), "ssim")
 
 
 @on_raster
