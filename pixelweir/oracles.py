@@ -168,6 +168,19 @@ i5 AS (SELECT image_id, quantile_cont(l, 0.05) AS l0 FROM i4 GROUP BY image_id H
 ic AS (SELECT image_id, floor(quantile_cont(r::DOUBLE, 0.5)) AS ir, floor(quantile_cont(g::DOUBLE, 0.5)) AS ig, floor(quantile_cont(b::DOUBLE, 0.5)) AS ib FROM i4 JOIN i5 USING (image_id) WHERE l <= l0 + 10 GROUP BY ALL)"""
 _SRGB = "CAST(round_even(255*least(1, greatest(0, CASE WHEN {0} > 0.0031308 THEN 1.055::DOUBLE*pow(greatest({0}, 0), 1/2.4::DOUBLE) - 0.055::DOUBLE ELSE 12.92::DOUBLE*{0} END)), 0) AS INTEGER)"
 
+_SHAPES = """bx AS (SELECT image_id, label AS z, min(x)::DOUBLE AS x0, min(y)::DOUBLE AS y0, max(x) + 1.0::DOUBLE AS x1, max(y) + 1.0::DOUBLE AS y1 FROM px GROUP BY ALL),
+ln AS (SELECT image_id, z, unnest([{'ax': x0, 'ay': y0, 'cx': x1, 'cy': y0, 'implied': false}, {'ax': x1, 'ay': y0, 'cx': x1, 'cy': y1, 'implied': false}, {'ax': x0, 'ay': y0 + 0.5::DOUBLE, 'cx': x0, 'cy': y0, 'implied': false},
+  {'ax': x1, 'ay': y0, 'cx': x0, 'cy': y0, 'implied': true}, {'ax': x0 + 0.25::DOUBLE, 'ay': y0, 'cx': x1, 'cy': y1, 'implied': false}, {'ax': x1, 'ay': y1, 'cx': x0, 'cy': y1, 'implied': false}, {'ax': x0, 'ay': y1, 'cx': x0 + 0.25::DOUBLE, 'cy': y0, 'implied': true}], recursive := true) FROM bx),
+cv AS (SELECT image_id, z, unnest([{'px': x1, 'py': y1, 'qx': x1, 'qy': y0, 'rx': x0, 'ry': y1, 'sx': x0, 'sy': y0 + 0.5::DOUBLE}, {'px': x0, 'py': y0, 'qx': x0, 'qy': y1, 'rx': x1, 'ry': y1, 'sx': x1, 'sy': y0}], recursive := true) FROM bx),
+cn AS (SELECT *, CAST(least(64, greatest(2, ceil((sqrt((qx-px)*(qx-px)+(qy-py)*(qy-py)) + sqrt((rx-qx)*(rx-qx)+(ry-qy)*(ry-qy)) + sqrt((sx-rx)*(sx-rx)+(sy-ry)*(sy-ry)))/1.5::DOUBLE))) AS BIGINT) AS n FROM cv),
+ck AS (SELECT *, unnest(range(n)) AS k FROM cn),
+cu AS (SELECT *, k/n::DOUBLE AS u, (k+1)/n::DOUBLE AS v FROM ck),
+eg AS (SELECT image_id, z, ax, ay, cx, cy, implied FROM ln UNION ALL SELECT image_id, z, """ + ", ".join(f"(1-{u})*(1-{u})*(1-{u})*p{c} + 3*(1-{u})*(1-{u})*{u}*q{c} + 3*(1-{u})*{u}*{u}*r{c} + {u}*{u}*{u}*s{c}" for u in "uv" for c in "xy") + " , false FROM cu)"
+_COVER = """sm AS (SELECT i.image_id, i.z, range // 75 AS sy, range % 75 AS sx, range // 75 + 0.5::DOUBLE AS yc, range % 75 + 0.5::DOUBLE AS xc FROM bx i CROSS JOIN range(4500)),
+wd AS (SELECT sm.image_id, sm.z, sy, sx, sum(CASE WHEN cy > ay THEN 1 ELSE -1 END) AS nz, count(*) AS eo FROM sm JOIN (SELECT image_id, z, 3*ax AS ax, 3*ay AS ay, 3*cx AS cx, 3*cy AS cy FROM eg) e
+  ON e.image_id = sm.image_id AND e.z = sm.z AND yc >= least(ay, cy) AND yc < greatest(ay, cy) AND ax + (yc - ay)*(cx - ax)/(cy - ay) <= xc GROUP BY ALL),
+cov AS (SELECT image_id, z, sy // 3 AS y, sx // 3 AS x, count(*) / 9.0::DOUBLE AS cover FROM wd WHERE CASE WHEN z % 2 = 0 THEN eo % 2 = 1 ELSE nz <> 0 END GROUP BY ALL)"""
+
 ORACLES: dict[str, str] = {
     "raster_scan": q(f"SELECT {b('image_id', 'y', 'x', 'label', 'r', 'g', 'b', 'a')}, {_EDGE} AS on_border FROM px"),
     "color_hex_pack": q(f"SELECT {b('r', 'g', 'b')}, {_HEX.format('')} AS hex, {_code()} AS code, CAST(((r >> 3) << 10) | ((g >> 3) << 5) | (b >> 3) AS BIGINT) AS code5, {_code()} AS back FROM col", _COL),
@@ -439,4 +452,21 @@ SELECT event_id, name, media_type, media_type IN ('image/png', 'image/jpeg') AS
         _TABLE,
         "v AS (SELECT image_id, idx, CASE WHEN idx % 3 = 1 THEN upper(hex) ELSE hex END <> hex AS bad_hex, (idx % 3 = 2) <> (idx % 2 = 0) AS bad_stroke, n = 500 AS whole_canvas FROM tb)",
     ),
+    "path_edges": q(f"SELECT {b('image_id', 'z')}, {r6('ax AS x0', 'ay AS y0', 'cx AS x1', 'cy AS y1')}, implied FROM eg", _SHAPES),
+    "curved_fill_coverage": q(f"SELECT {b('image_id', 'z', 'y', 'x')}, {r6('cover')} FROM cov", _SHAPES, _COVER),
+    "stroke_coverage": q(
+        f"SELECT {b('image_id', 'z', 'sy // 3 AS y', 'sx // 3 AS x')}, round(count(*) / 9.0::DOUBLE, 6) AS cover FROM (SELECT DISTINCT image_id, z, sy, sx FROM hit WHERE (xc-ax-t*dx)*(xc-ax-t*dx) + (yc-ay-t*dy)*(yc-ay-t*dy) <= rr*rr) GROUP BY image_id, z, sy // 3, sx // 3",
+        _SHAPES,
+        "sm AS (SELECT i.image_id, i.z, range // 75 AS sy, range % 75 AS sx, range // 75 + 0.5::DOUBLE AS yc, range % 75 + 0.5::DOUBLE AS xc FROM bx i CROSS JOIN range(4500))",
+        "sg AS (SELECT image_id, z, 3*ax AS ax, 3*ay AS ay, 3*(cx-ax) AS dx, 3*(cy-ay) AS dy, (1.3::DOUBLE + z/7.0::DOUBLE)*1.5::DOUBLE AS rr FROM eg WHERE NOT implied)",
+        "hit AS (SELECT sm.*, ax, ay, dx, dy, rr, CASE WHEN dx*dx + dy*dy = 0 THEN 0 ELSE least(1, greatest(0, ((xc-ax)*dx + (yc-ay)*dy)/(dx*dx + dy*dy))) END AS t FROM sm JOIN sg ON sg.image_id = sm.image_id AND sg.z = sm.z)",
+    ),
+    "rendered_layers": q(
+        f"SELECT {b('image_id', 'y', 'x')}, " + ", ".join(f"round(CASE WHEN sum(al*ab) > 0 THEN sum(pal.{c}/255.0::DOUBLE*al*ab)/sum(al*ab) ELSE 0 END, 6) AS {c}" for c in "rgb") + ", round(sum(al*ab), 6) AS a FROM ov JOIN pal ON pal.label = ov.z GROUP BY image_id, y, x",
+        _SHAPES,
+        _COVER,
+        "al AS (SELECT *, cover * CASE WHEN z % 3 = 0 THEN 0.5::DOUBLE ELSE 1 END AS al FROM cov)",
+        "ov AS (SELECT *, coalesce(product(1 - al) OVER (PARTITION BY image_id, y, x ORDER BY z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS ab FROM al)",
+    ),
+    "rendered_rectangles": q(f"SELECT {b('px.image_id AS image_id', 'px.y AS y', 'px.x AS x', 'pal.r AS r', 'pal.g AS g', 'pal.b AS b', '255 AS a')} FROM px JOIN pal USING (label)"),
 }

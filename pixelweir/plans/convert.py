@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweir.functions import color
-from pixelweir.operators import documents, grid, kernels, palette, regions
+from pixelweir.operators import documents, grid, kernels, palette, quality, regions, render
 
 # Palette sizes by class, and the quantiser's tolerances.
 MAX_COLORS = {"line_art": 8, "flat_color": 16, "mixed": 24}
@@ -156,8 +156,8 @@ def trace(labels: DataFrame, tolerance: float = 0.8, degrees: float = 60.0) -> D
     return _by_image(labels.select("image_id", "y", "x", "label"), run, "image_id long, label int, d string").withColumn("n_nodes", text.n_nodes(F.col("d")).cast("long"))
 
 
-def convert(px: DataFrame, width: int, height: int, exact: bool = False, max_colors: int = 16) -> DataFrame:
-    """(image_id, svg, eps, n_layers, n_nodes) of rasters (image_id, y, x, r, g, b, a): quantised, planned, traced (or as exact rectangles) and written."""
+def document_layers(px: DataFrame, width: int, height: int, exact: bool = False, max_colors: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(opaque pixels with the labels found, document layers with label and n_nodes) of rasters (image_id, y, x, r, g, b, a): quantised, planned, and traced (or as exact rectangles)."""
     labels = quantize(px, max_colors)
     seen = px.drop("label").join(labels, ["image_id", "y", "x"])
     opaque = seen.filter("label >= 0")
@@ -165,6 +165,30 @@ def convert(px: DataFrame, width: int, height: int, exact: bool = False, max_col
     plan = regions.layer_plan(table.select("image_id", "label", "n", "is_background", F.lit(False).alias("is_line")))
     paths = regions.rect_layers(regions.rectangles(opaque), 1 << 30) if exact else trace(opaque)
     layers = table.join(plan.select("image_id", "label", "z"), ["image_id", "label"]).join(paths.select("image_id", "label", "d", "n_nodes"), ["image_id", "label"])
-    rows = layers.select("image_id", "z", F.col("name").alias("id"), "d", F.col("hex").alias("color_hex"), F.lit(False).alias("is_stroke"), F.lit(1.0).alias("stroke_width"), F.lit("evenodd").alias("fill_rule"), F.lit(1.0).alias("opacity"))
-    sums = layers.groupBy("image_id").agg(F.count("*").alias("n_layers"), F.sum("n_nodes").alias("n_nodes"))
+    style = [F.lit(False).alias("is_stroke"), F.lit(1.0).alias("stroke_width"), F.lit("evenodd").alias("fill_rule"), F.lit(1.0).alias("opacity")]
+    return opaque, layers.select("image_id", "label", "z", F.col("name").alias("id"), "d", "n_nodes", F.col("hex").alias("color_hex"), *style)
+
+
+def convert(px: DataFrame, width: int, height: int, exact: bool = False, max_colors: int = 16) -> DataFrame:
+    """(image_id, svg, eps, n_layers, n_nodes) of rasters (image_id, y, x, r, g, b, a): their document layers, written."""
+    rows = document_layers(px, width, height, exact, max_colors)[1]
+    sums = rows.groupBy("image_id").agg(F.count("*").alias("n_layers"), F.sum("n_nodes").alias("n_nodes"))
     return documents.svg(rows, width, height).join(documents.eps(rows, width, height), "image_id").join(sums, "image_id")
+
+
+def evaluate(px: DataFrame, width: int, height: int, ssim_min: float, exact: bool = False) -> DataFrame:
+    """Checks of converted documents against their sources: similarity, colours, gaps and outlines measured on the
+    rendered layers, and the written SVG's structure. Time isn't asked, as no image is converted on its own."""
+    opaque, layers = document_layers(px, width, height, exact)
+    preview = render.render(layers.withColumns({"path_no": F.lit(0), "width": F.lit(width), "height": F.lit(height)}))
+    whole = px.select("image_id", "y", "x").join(preview, ["image_id", "y", "x"], "left").na.fill(0, ["r", "g", "b", "a"])
+    pairs = quality.pair(px, whole)
+    gray = [color.gray_over_white(*[F.col(f"{p}{c}") for c in "rgba"]).alias(n) for p, n in (("", "p"), ("p", "q"))]
+    ssim = grid.ssim(pairs.select("image_id", "y", "x", *gray), width, height)
+    r, g, b = color.from_hex(F.col("color_hex"))
+    de = quality.region_delta_e(opaque, layers.select("image_id", "label", r.alias("lr"), g.alias("lg"), b.alias("lb"))).groupBy("image_id").agg(F.avg("delta_e").alias("mean_de"), F.max("delta_e").alias("max_de"))
+    ids = layers.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("z", "id"))), lambda x: x["id"]).alias("ids"))
+    bad = documents.svg_problems(documents.svg(layers, width, height).join(ids, "image_id"), width, height).select("image_id").distinct().withColumn("bad", F.lit(True))
+    rows = quality.gaps(pairs).join(ssim, "image_id", "left").join(de, "image_id", "left").join(bad, "image_id", "left")
+    none = F.lit(None).cast("double")
+    return quality.checks(rows.withColumns({"ssim_min": F.lit(ssim_min), "svg_ok": F.col("bad").isNull(), "time_s": none, "budget_s": none}))

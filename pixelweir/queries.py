@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweir.functions import color, text
-from pixelweir.operators import documents, grid, ink, jobs, palette, quality, regions
+from pixelweir.operators import documents, grid, ink, jobs, palette, quality, regions, render
 from pixelweir.oracles import ORACLES  # noqa: F401
 from pixelweir.plans import convert
 from pixelweir.sources import raster
@@ -782,3 +782,50 @@ def layer_constraint_violations(px: DataFrame) -> DataFrame:
     )
     bad_hex, bad_stroke = F.col("hex") != color.hex_of(*rgb()), F.col("is_stroke") != F.col("stroke_width").isNotNull()
     return big(rows.select("image_id", "idx", bad_hex.alias("bad_hex"), bad_stroke.alias("bad_stroke"), (F.col("n") == H * W).alias("whole_canvas")).filter("bad_hex OR bad_stroke OR whole_canvas"))
+
+
+def _curved_layers(px: DataFrame, stroke: bool = False) -> DataFrame:
+    """A path over each label's bounding box, with repeated operands, curves, a subpath closed and gone on from, and open ones; label is z."""
+    box = px.groupBy("image_id", "label").agg(*[f.cast("string").alias(n) for n, f in (("x0", F.min("x")), ("y0", F.min("y")), ("x1", F.max("x") + 1), ("y1", F.max("y") + 1))])
+    d = F.format_string(
+        "M %1$s %2$s L %3$s %2$s %3$s %4$s C %3$s %2$s %1$s %4$s %1$s %2$s.5 Z C %1$s %4$s %3$s %4$s %3$s %2$s M%1$s.25 %2$sL%3$s %4$s %1$s %4$s", F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")
+    )
+    even, see_through = F.col("label") % 2 == 0, F.col("label") % 3 == 0
+    style = {"color_hex": color.hex_of(*raster.colour_of(F.col("label"))), "is_stroke": F.lit(stroke), "stroke_width": F.lit(1.3) + F.col("label") / 7.0, "fill_rule": F.when(even, "evenodd").otherwise("nonzero"), "opacity": F.when(see_through, 0.5).otherwise(1.0)}
+    return box.select("image_id", F.col("label").alias("z"), "label", F.lit(0).alias("path_no"), d.alias("d")).withColumns({**style, "width": F.lit(W), "height": F.lit(H)})
+
+
+@on_raster
+def path_edges(px: DataFrame) -> DataFrame:
+    e = render.edges(render.with_samples(_curved_layers(px)))
+    return big(e.select("image_id", "z", "x0", "y0", "x1", "y1", "implied"), "x0", "y0", "x1", "y1")
+
+
+@on_raster
+def curved_fill_coverage(px: DataFrame) -> DataFrame:
+    """Even-odd fills of even labels and nonzero ones of odd labels, nine samples a pixel."""
+    return big(render.coverage(render.with_samples(_curved_layers(px))).select("image_id", "z", "y", "x", "cover"), "cover")
+
+
+@on_raster
+def stroke_coverage(px: DataFrame) -> DataFrame:
+    return big(render.coverage(render.with_samples(_curved_layers(px, True))).select("image_id", "z", "y", "x", "cover"), "cover")
+
+
+@on_raster
+def rendered_layers(px: DataFrame) -> DataFrame:
+    """Curved layers, some of them see-through, painted over one another from the lowest label up."""
+    return big(render.paint(render.coverage(render.with_samples(_curved_layers(px)))), "r", "g", "b", "a")
+
+
+@on_raster
+def rendered_rectangles(px: DataFrame) -> DataFrame:
+    """Exact documents of whole numbers give the raster's clean colours again."""
+    paths = regions.rect_layers(regions.rectangles(px), 10).select("image_id", F.col("label").alias("z"), "path_no", "d", color.hex_of(*raster.colour_of(F.col("label"))).alias("color_hex"))
+    return big(render.render(paths.withColumns({"is_stroke": F.lit(False), "stroke_width": F.lit(1.0), "fill_rule": F.lit("evenodd"), "opacity": F.lit(1.0), "width": F.lit(W), "height": F.lit(H)})))
+
+
+@on_raster
+def converted_quality(px: DataFrame) -> DataFrame:
+    """Traced documents, rendered and measured against their sources."""
+    return big(convert.evaluate(px, W, H, quality.SSIM_MIN["flat_color"]), "value", "threshold")
