@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelweir.functions import color
-from pixelweir.operators import documents, grid, kernels, palette, quality, regions, render
+from pixelweir.operators import documents, grid, kernels, palette, palette_fit, quality, regions, render
 
 # Palette sizes by class, and the quantiser's tolerances.
 MAX_COLORS = {"line_art": 8, "flat_color": 16, "mixed": 24}
-FIT_TOLERANCE, OUTLIER_SHARE, MERGE_DELTA_E = 12.0, 0.0004, 3.0
+FIT_TOLERANCE, OUTLIER_SHARE = 12.0, 0.0004
 
 
 def _by_image(px: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -77,7 +77,7 @@ def remove_background(px: DataFrame, found: DataFrame, tolerance: float = 10.0)
 
 
 def quantize(px: DataFrame, max_colors: int = MAX_COLORS["flat_color"], least_area: int = 4) -> DataFrame:
-    """(image_id, y, x, label): opaque pixels in their palette's labels by falling count, -1 elsewhere. Small regions join the nearest larger one."""
+    """(image_id, y, x, label): opaque pixels in their palette's labels by falling count, -1 elsewhere. Close colours are merged and thin mixtures dropped; small regions join the nearest larger one."""
 
     def run(pdf):
         lab = pdf[["l", "la", "lb"]].to_numpy()
@@ -87,10 +87,14 @@ def quantize(px: DataFrame, max_colors: int = MAX_COLORS["flat_color"], least_ar
             points, back, n = np.unique(np.rint(lab[opaque]), axis=0, return_inverse=True, return_counts=True)
             sums = np.stack([np.bincount(back.ravel(), weights=lab[opaque][:, k]) for k in range(3)], axis=1) / n[:, None]
             centers = kernels.grow_centers(sums, n.astype(float), max_colors, FIT_TOLERANCE, OUTLIER_SHARE * n.sum())
-            label[opaque] = ((lab[opaque][:, None, :] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+            weights = np.bincount(palette_fit.nearest(sums, centers), weights=n, minlength=len(centers))
             y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
+            mask = kernels.dense(y, x, opaque.astype(np.int64), 0).astype(bool)
+            raster_order = np.lexsort((x[opaque], y[opaque]))
+            centers = palette_fit.prune(lab[opaque][raster_order], mask, palette_fit.merge_close(centers, weights))
+            label[opaque] = palette_fit.nearest(lab[opaque], centers)
             whole = kernels.remove_small(kernels.dense(y, x, label, -1), least_area)[y, x]
-            label = np.where(opaque & (whole >= 0), whole, label)
+            label = palette_fit.merge_labels(lab, np.where(opaque & (whole >= 0), whole, label))
             used, counts = np.unique(label[label >= 0], return_counts=True)
             order = used[np.lexsort((used, -counts))]
             remap = np.full(used.max() + 2, -1)
