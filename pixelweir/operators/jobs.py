@@ -105,3 +105,33 @@ def poll_delay(k: Column) -> Column:
 
 def is_final(status: Column) -> Column:
     return status.isin("succeeded", "failed")
+
+
+def delete(log: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the log without the jobs named, (job_id, existed) of each distinct name): a null or unknown name deletes nothing."""
+    named = ids.select("job_id").filter("job_id IS NOT NULL").distinct()
+    found = log.select("job_id").distinct().withColumn("_e", F.lit(True))
+    return log.join(named, "job_id", "left_anti"), named.join(found, "job_id", "left").select("job_id", F.col("_e").isNotNull().alias("existed"))
+
+
+def cancel_queued(jobs: DataFrame) -> DataFrame:
+    """Adds cancelled: jobs that haven't begun can still be taken back; those that run or are finished can't."""
+    return jobs.withColumn("cancelled", F.col("status") == "queued")
+
+
+def new_row(job_id: Column, now: Column, ttl: int = TTL_SECONDS) -> Column:
+    """A job as it is written first."""
+    return F.struct(job_id.alias("job_id"), F.lit("queued").alias("status"), F.lit("load").alias("stage"), F.lit(0.0).alias("progress"), now.alias("created"), (now + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(ttl))).alias("expires"))
+
+
+#: Numbers of the service's environment, each with its default and least value.
+ENVIRONMENT = {"MAX_WORKERS": (2, 1), "JOB_TTL_SECONDS": (TTL_SECONDS, 1), "CLEANUP_INTERVAL_SECONDS": (60, 1), "MAX_UPLOAD_BYTES": (20 * 1024 * 1024, 1)}
+
+
+def environment_number(name: Column, raw: Column) -> tuple[Column, Column]:
+    """(value, error) of an environment setting: blank or null gives the default, and an error leaves no value."""
+    pick = lambda k: F.element_at(F.create_map(*[F.lit(x) for n, v in ENVIRONMENT.items() for x in (n, v[k])]), name)
+    bare = F.trim(F.coalesce(raw, F.lit("")))
+    number = F.when(bare.rlike("^[+-]?[0-9]{1,18}$"), bare).try_cast("long")
+    error = F.when(pick(0).isNull(), "unknown setting").when((bare != "") & number.isNull(), "not an integer").when(number < pick(1), F.concat(F.lit("must be at least "), pick(1).cast("string")))
+    return F.when(error.isNull(), F.coalesce(number, pick(0).cast("long"))), error

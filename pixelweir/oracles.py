@@ -469,4 +469,30 @@ SELECT event_id, name, media_type, media_type IN ('image/png', 'image/jpeg') AS
         "ov AS (SELECT *, coalesce(product(1 - al) OVER (PARTITION BY image_id, y, x ORDER BY z DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS ab FROM al)",
     ),
     "rendered_rectangles": q(f"SELECT {b('px.image_id AS image_id', 'px.y AS y', 'px.x AS x', 'pal.r AS r', 'pal.g AS g', 'pal.b AS b', '255 AS a')} FROM px JOIN pal USING (label)"),
+    "results_table": q(
+        f"SELECT {b('rep.image_id AS image_id')}, " + ", ".join(f"CAST(round(CAST(round({c}, 6) AS DECIMAL(18,6)), {n}) AS VARCHAR) AS {c}" for c, n in (("ssim", 4), ("mean_de", 2), ("max_de", 2), ("gap_ratio", 5), ("iou", 4)))
+        + ", CASE WHEN f.failed IS NULL THEN 'PASS' ELSE 'FAIL: ' || f.failed END AS verdict FROM rep LEFT JOIN (SELECT image_id, string_agg(name, ',' ORDER BY name) AS failed FROM chk WHERE NOT passed GROUP BY image_id) f ON f.image_id = rep.image_id",
+        _CHECKS,
+    ),
+    "results_markdown": q(
+        f"SELECT {b('image_id', 'k')}, line FROM (SELECT image_id, idx + 2 AS k, '| ' || idx || ' | ' || name || ' | ' || hex || ' | ' || n || ' |' AS line FROM tb"
+        " UNION ALL SELECT DISTINCT image_id, 0, '| idx | name | hex | n |' FROM tb UNION ALL SELECT DISTINCT image_id, 1, '| --- | --- | --- | --- |' FROM tb)",
+        _TABLE,
+    ),
+    "difference_images": q(
+        f"SELECT {b('image_id', 'y', 'x', 'least(255, floor(greatest(abs(wr - vr), abs(wg - vg), abs(wb - vb)) * 1020.0::DOUBLE + 1e-9)) AS heat')}, "
+        + ", ".join(f"CAST(CASE WHEN near THEN {v} ELSE floor((wr + wg + wb) / 3.0::DOUBLE * 160.0::DOUBLE + 60.0::DOUBLE + 1e-9) END AS BIGINT) AS g{c}" for c, v in zip("rgb", (255, 0, 255), strict=True))
+        + " FROM (SELECT i.image_id, i.y, i.x, "
+        + ", ".join(f"CASE WHEN i.a = 255 THEN i.{c}/255.0::DOUBLE ELSE 1.0::DOUBLE END AS w{c}, CASE WHEN i.pa = 255 THEN i.p{c}/255.0::DOUBLE ELSE 1.0::DOUBLE END AS v{c}" for c in "rgb")
+        + ", EXISTS (SELECT 1 FROM inn n WHERE n.image_id = i.image_id AND n.inside AND n.pa < 128 AND n.y BETWEEN i.y-1 AND i.y+1 AND n.x BETWEEN i.x-1 AND i.x+1) AS near FROM inn i)",
+        _INNER,
+    ),
+    "job_deletions": f"""WITH {_LOG}, ids AS (SELECT DISTINCT CASE WHEN event_id % 10 = 0 THEN job_id ELSE -job_id - 1 END AS job_id FROM log WHERE event_id % 10 < 2)
+SELECT CAST(job_id AS BIGINT) AS job_id, job_id IN (SELECT job_id FROM log) AS existed, (SELECT count(*) FROM log WHERE job_id NOT IN (SELECT job_id FROM ids)) AS updates_left FROM ids""",
+    "job_cancellations": f"WITH {_LATEST} SELECT CAST(job_id AS BIGINT) AS job_id, status, status = 'queued' AS cancelled FROM latest",
+    "new_jobs": "SELECT CAST(event_id AS BIGINT) AS job_id, 'queued' AS status, 'load' AS stage, 0.0::DOUBLE AS progress, epoch_us(ts) AS created, epoch_us(ts) + 3600000000 AS expires FROM events",
+    "environment_settings": """WITH s AS (SELECT event_id, user_id, (['MAX_WORKERS','JOB_TTL_SECONDS','CLEANUP_INTERVAL_SECONDS','MAX_UPLOAD_BYTES','MAX_PLAYERS'])[event_id % 5 + 1] AS name, ([2, 3600, 60, 20971520, NULL])[event_id % 5 + 1] AS usual, event_id % 6 AS kind FROM events),
+v AS (SELECT *, CASE kind WHEN 0 THEN user_id WHEN 3 THEN -user_id WHEN 5 THEN 0 END AS number FROM s),
+e AS (SELECT *, CASE WHEN name = 'MAX_PLAYERS' THEN 'unknown setting' WHEN kind = 2 THEN 'not an integer' WHEN number < 1 THEN 'must be at least 1' ELSE '' END AS error FROM v)
+SELECT CAST(event_id AS BIGINT) AS event_id, name, CAST(CASE WHEN error = '' THEN coalesce(number, usual) END AS BIGINT) AS value, error FROM e""",
 }

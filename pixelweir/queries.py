@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweir.functions import color, text
-from pixelweir.operators import documents, grid, ink, jobs, palette, quality, regions, render
+from pixelweir.operators import documents, grid, ink, jobs, palette, quality, regions, render, reports
 from pixelweir.oracles import ORACLES  # noqa: F401
 from pixelweir.plans import convert
 from pixelweir.sources import raster
@@ -829,3 +829,50 @@ def rendered_rectangles(px: DataFrame) -> DataFrame:
 def converted_quality(px: DataFrame) -> DataFrame:
     """Traced documents, rendered and measured against their sources."""
     return big(convert.evaluate(px, W, H, quality.SSIM_MIN["flat_color"]), "value", "threshold")
+
+
+@on_raster
+def results_table(px: DataFrame) -> DataFrame:
+    r = _reports(px)
+    return big(reports.results(r, quality.checks(r)))
+
+
+@on_raster
+def results_markdown(px: DataFrame) -> DataFrame:
+    """A table of the palette of each image."""
+    return big(reports.lines(table_of(px), F.col("image_id"), F.col("idx"), ["idx", "name", "hex", "n"]).withColumnRenamed("group", "image_id"))
+
+
+@on_raster
+def difference_images(px: DataFrame) -> DataFrame:
+    return big(reports.difference(quality.pair(px, raster.rendered(px))))
+
+
+@query
+def job_deletions(spark: SparkSession, sf: str) -> DataFrame:
+    """Jobs named for deletion (each tenth event's user, and users that don't exist), whether they existed, and how many updates stay in all."""
+    log = job_log(spark, sf)
+    ids = log.select(F.when(F.col("event_id") % 10 == 0, F.col("job_id")).when(F.col("event_id") % 10 == 1, -F.col("job_id") - 1).alias("job_id"))
+    left, gone = jobs.delete(log, ids)
+    return big(gone.join(F.broadcast(left.agg(F.count("*").alias("updates_left")))))
+
+
+@query
+def job_cancellations(spark: SparkSession, sf: str) -> DataFrame:
+    return big(jobs.cancel_queued(jobs.latest(job_log(spark, sf))).select("job_id", "status", "cancelled"))
+
+
+@query
+def new_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return _epoch(e.select(jobs.new_row(F.col("event_id"), F.col("ts").cast("timestamp")).alias("j")).select("j.*"), "created", "expires")
+
+
+@query
+def environment_settings(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    names = (*jobs.ENVIRONMENT, "MAX_PLAYERS")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % len(names) + 1).cast("int"))
+    raw = F.element_at(F.array(F.col("user_id").cast("string"), F.lit(" "), F.lit("2.5"), F.concat(F.lit(" -"), F.col("user_id").cast("string")), F.lit(None).cast("string"), F.lit("0")), (F.col("event_id") % 6 + 1).cast("int"))
+    value, error = jobs.environment_number(F.col("name"), F.col("raw"))
+    return big(e.select("event_id", name.alias("name"), raw.alias("raw")).select("event_id", "name", value.alias("value"), F.coalesce(error, F.lit("")).alias("error")))
