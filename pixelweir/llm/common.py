@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside joins; BIGINT's smallest value, turned back into null at the end.
@@ -99,16 +99,26 @@ def columns(docs: DataFrame) -> list[Column]:
 
 
 def keep_rows(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without those of the keys `gone` (_d, _h), and of the keys `once` only one row each."""
+    """The rows of docs without those of the keys `gone` (_d, _h), and of the keys `once` only one row each.
+
+    With `once`, rows that may be among the keys are sorted behind the marks of their key and read in that order, so that
+    docs are scanned twice and these rows shuffled once, whatever the keys; joins would scan docs again for each branch.
+    """
     d, h = fresh(docs, "_d"), fresh(docs, "_h")
     own = docs.select("*", *[k.alias(n) for k, n in zip(row_key(doc_id, text), (d, h), strict=True)])
-    touched = gone.select("_d", "_h") if once is None else gone.select("_d", "_h").union(once.select("_d", "_h"))
-    some = may_hold(durable(touched), d, h)
-    renamed = [F.col("_d").alias(d), F.col("_h").alias(h)]
-    left = own.filter(some).join(gone.select(*renamed), [d, h], "left_anti")
-    parts = [own.filter(~some), left]
-    if once is not None:
-        parts[1:] = [left.join(once.select(*renamed), [d, h], "left_anti"), left.join(once.select(*renamed), [d, h], "left_semi").dropDuplicates([d, h])]
+    if once is None:
+        some = may_hold(durable(gone.select("_d", "_h")), d, h)
+        parts = [own.filter(~some), own.filter(some).join(gone.select(F.col("_d").alias(d), F.col("_h").alias(h)), [d, h], "left_anti")]
+    else:
+        mark, row = fresh(own, "_mark"), fresh(own, "_row")
+        marks = durable(gone.select("_d", "_h", F.lit(1).alias(mark)).union(once.select("_d", "_h", F.lit(2))))
+        some = may_hold(marks, d, h)
+        blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields]
+        every = marks.select(*blank, "_d", "_h", mark, F.lit(0).alias(row)).union(own.filter(some).select("*", F.lit(None).cast("int"), F.lit(1)))
+        so_far = Window.partitionBy(d, h).orderBy(row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        every = every.toDF(*docs.columns, d, h, mark, row)
+        marked = every.select("*", F.min(mark).over(so_far).alias(fate := fresh(every, "_fate")), F.sum(row).over(so_far).alias(nth := fresh(every, "_nth")))
+        parts = [own.filter(~some), marked.filter((F.col(row) == 1) & (F.col(fate).isNull() | (F.col(fate) == 2) & (F.col(nth) == 1)))]
     return reduce(DataFrame.union, [p.select(*columns(docs)) for p in parts])
 
 

@@ -7,7 +7,8 @@ bits or fewer. So one side is keyed by the codewords of both segments, the other
 bit of them (one or six a segment); a common key is certain, and candidates are verified by their differing bits.
 
 Equal fingerprints are merged before. In a group only links that join parts not yet joined are kept (a spanning
-forest), so large groups don't make all pairs; components then come from alternating large-star and small-star rounds.
+forest), so large groups don't make all pairs. Components of up to SETTLED links then come from one task, and of more
+from alternating large-star and small-star rounds.
 
 Results: null and empty texts have fingerprint zero. Repeated rows share a component. A null doc_id never names one.
 """
@@ -34,6 +35,9 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 BLOCK = 2048
 #: Hot keys are looked up by a broadcast up to so many, and by a join beyond.
 BROADCAST_KEYS = 50_000
+#: Distinct edges (4 MB of ids) whose components one task finds. More take rounds of joins over all tasks; each round is
+#: some ten exchanges, whose plans, threads and broadcasts cost the driver more memory than the edges would.
+SETTLED = 1 << 18
 
 _LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -229,9 +233,27 @@ def links(prints: DataFrame, most: int = 3) -> DataFrame:
     return dealt.mapInArrow(tidy(group), "a long, b long")
 
 
+def settled(edges: DataFrame) -> DataFrame:
+    """(node, label): each node of an edge and the smallest node reachable, by one task. edges: u, v, no more than SETTLED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
+                forest.join(u, v)
+        nodes = list(forest.up)
+        for i in range(0, len(nodes), 1 << 16):
+            some = nodes[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([forest.root(x) for x in some], pa.int64())], ["node", "label"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(tidy(run), "node long, label long")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): each node of an edge and the smallest node reachable, by alternating large-star and small-star."""
+    """(node, label): each node of an edge and the smallest node reachable; of more than SETTLED edges by alternating large-star and small-star."""
     now = durable(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    if now.count() <= SETTLED:
+        return settled(now)
     mark = None
     for _ in range(rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -266,14 +288,19 @@ def near_duplicates(docs: DataFrame, most: int = 3, doc_id: str = "doc_id", text
     return prints.join(by_print, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, most: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of docs for each component, with its own columns: that of the smallest doc_id (null last), of equal rows any one."""
+def fates(docs: DataFrame, most: int = 3, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Keys (_d, _h) of the rows that go, and of those of which one row stays, for `keep_rows`: of each component the smallest doc_id stays (null last)."""
     prints = durable(fingerprints(docs, doc_id, text).withColumn("_d", F.coalesce("doc_id", F.lit(NULL_ID))))
     ranked = F.struct(F.col("doc_id").isNull().alias("n"), F.col("_d"), F.col("h").alias("_h"))
     best = prints.groupBy("fp").agg(F.min(ranked).alias("k")).join(groups(prints, most), "fp").groupBy("label").agg(F.min("k").alias("k"))
     rows = prints.groupBy("_d", F.col("h").alias("_h")).agg(F.count("*").alias("n"))
     fate = durable(rows.join(best.select("k._d", "k._h", F.lit(True).alias("kept")), ["_d", "_h"], "left").filter("kept IS NULL OR n > 1"))
-    return keep_rows(docs, fate.filter("kept IS NULL"), fate.filter("kept"), doc_id, text)
+    return fate.filter("kept IS NULL"), fate.filter("kept")
+
+
+def keep_one(docs: DataFrame, most: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of docs for each component, with its own columns: that of the smallest doc_id (null last), of equal rows any one."""
+    return keep_rows(docs, *fates(docs, most, doc_id, text), doc_id, text)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

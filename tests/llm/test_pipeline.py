@@ -108,3 +108,14 @@ def test_run_chains_the_stages(spark, tables):
     top, _ = tables
     found = C.run(spark, top)
     assert 0 < found.count() < 268 and "ids_sha256" in found.columns
+
+
+def test_near_dedup_reads_documents_once_for_each_fate(spark, tables):
+    """Fingerprints' fates and those of word sets make one selection; nested ones were planned and run again in each scan."""
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    got = C.near_dedup(spark, docs, tables[0])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") <= 2
+    nested = C.word_sets.keep_one(C.simhash.keep_one(docs))
+    key = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert key(got) == key(nested) and 0 < got.count() < docs.count()

@@ -87,3 +87,19 @@ def test_long_chain_of_links(spark):
     df = spark.createDataFrame([(int(np.uint64(p).view(np.int64)),) for p in set(prints)], "fp long")
     nodes = S.components(S.links(df)).collect()
     assert len({r.label for r in nodes}) == 1 and len(nodes) == len(set(prints))
+
+
+def test_one_task_and_rounds_give_the_same_components(spark, monkeypatch):
+    rnd = random.Random(5)
+    edges = [(rnd.randint(-300, 300) << 40, rnd.randint(-300, 300) << 40) for _ in range(250)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    one = sorted(tuple(r) for r in S.components(df).collect())
+    monkeypatch.setattr(S, "SETTLED", 10)
+    assert one == sorted(tuple(r) for r in S.components(df).collect()) and 1 < len({label for _, label in one}) < len(one)
+    monkeypatch.undo()
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("few links", "")
+    S.components(df).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs.getJobIdsForGroup("few links")) <= 8
+    assert S.components(df.filter("false")).count() == 0
